@@ -1,7 +1,10 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import line_dedup
+from hearthline.llm import line_dedup, quality_rules
 
-QUERIES = {"op5_line_dedup": line_dedup.op5_line_dedup}
+QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+}
 
 ORACLE_SQL = {"op5_line_dedup": line_dedup.OP5_SQL}
