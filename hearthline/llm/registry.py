@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import chat_format, decontaminate, line_dedup, quality_rules
+from hearthline.llm import chat_format, decontaminate, line_dedup, quality_rules, warc
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -11,6 +12,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_warc": warc.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }
