@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import chat_format, decontaminate, line_dedup, quality_rules, warc
+from hearthline.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, warc
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality_rules.op8_quality_rules,
