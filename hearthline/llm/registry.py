@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, toxicity, warc
+from hearthline.llm import chat_format, decontaminate, line_dedup, packing, pii, quality_rules, toxicity, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_warc": warc.op7_warc,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
