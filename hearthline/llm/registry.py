@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import chat_format, decontaminate, line_dedup, packing, pii, quality_rules, toxicity, warc
+from hearthline.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, packing, pii, quality_rules, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard": ngram_jaccard.OP1_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
