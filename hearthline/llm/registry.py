@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can express them on whole tables, their DuckDB counterparts."""
 
-from hearthline.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, packing, pii, quality_rules, toxicity, warc
+from hearthline.llm import chat_format, decontaminate, line_dedup, ngram_jaccard, packing, pii, quality_rules, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard.op1_ngram_jaccard,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
