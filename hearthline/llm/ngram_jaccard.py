@@ -288,7 +288,10 @@ def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, n_shingles, component_id, class_row) of every row of ``docs``.
+    """(id, row, n_shingles, component_id, component_row) of every row of ``docs``.
+
+    ``row`` numbers the rows of ``docs`` as ``monotonically_increasing_id`` does, and
+    ``component_row`` is a row that stands for the component.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; a set holds the distinct
     5-word shingles, or the whole text as one where it has fewer words. Rows without words have the
@@ -322,14 +325,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_row")
     placed = classes.join(final, "class_row", "left").withColumn("root", F.coalesce("component", "class_row"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("s1", "s2", "n", "class_row", "component_id")
-    known = rows.select("row", "id", "s1", "s2", "n").join(placed, ["s1", "s2", "n"]).select("id", "row", "n", "component_id", "class_row")
+    placed = placed.join(least, "root").select("s1", "s2", "n", F.col("root").alias("component_row"), "component_id")
+    known = rows.select("row", "id", "s1", "s2", "n").join(placed, ["s1", "s2", "n"])
+    known = known.select("id", "row", "n", "component_id", "component_row")
     known = materialise(known, "near-duplicates")
     bare = source.select("row", "id").join(known.select("row"), "row", "left_anti")
-    bare = bare.select("id", "row", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id"), F.col("row").alias("class_row"))
+    bare = bare.select("id", "row", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id"), F.col("row").alias("component_row"))
     return known.unionByName(bare).withColumnRenamed("n", "n_shingles")
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the smallest id stays, of repeated rows the first."""
+    found = near_duplicates(docs, id_col, text_col)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    stays = found.groupBy("component_row").agg(F.min(order)["row"].alias("row")).select("row")
+    gone = found.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", "__row")
+    numbered = docs.withColumn("__own", F.monotonically_increasing_id())
+    return numbered.join(gone, F.col("__own") == F.col("__row"), "left_anti").drop("__own")
+
+
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
