@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-CACHE = 150_000
+CACHE = 400_000
 
 
 class ChunkEncoder:
@@ -52,40 +52,43 @@ class ChunkEncoder:
 
     def _resolve(self, missing: dict[bytes, bytes | None]) -> None:
         """Fills in ``missing`` and the cache. A word with closing punctuation is the word's ids, then the punctuation's."""
-        split, wanted = {}, {}
+        old, young, fresh, split = self.old.get, self.young.get, {}, []
         for chunk in missing:
-            if (value := self.old.get(chunk)) is not None:
+            if (value := old(chunk)) is not None:
                 missing[chunk] = value
                 continue
             core = chunk.rstrip(b".,!?;:*#$%&)")
-            parts = (core, chunk[len(core) :]) if core.isalpha() and len(core) < len(chunk) else (chunk,)
-            split[chunk] = parts
-            for part in parts:
-                if part not in wanted:
-                    value = self.young.get(part)
-                    wanted[part] = self.old.get(part) if value is None else value
-        fresh = [part for part, value in wanted.items() if value is None]
-        for k in range(0, len(fresh), 4096):
-            some = fresh[k : k + 4096]
-            wanted.update(zip(some, self._encode_chunks(some), strict=True))
-        for chunk, parts in split.items():
-            missing[chunk] = b"".join(wanted[p] for p in parts)
-        for chunk, value in [*missing.items(), *wanted.items()]:
-            if len(self.young) >= self.size:
-                self.old = dict(self.young)
-                self.young.clear()
-            self.young[chunk] = value
+            if len(core) < len(chunk) and (core.isalpha() or core.decode().isalpha()):
+                tail = chunk[len(core) :]
+                split.append((chunk, core, tail))
+                for part in (core, tail):
+                    if part not in missing:
+                        value = young(part) or old(part)
+                        fresh[part] = value
+            else:
+                fresh[chunk] = None
+        wanted = [part for part, value in fresh.items() if value is None]
+        for k in range(0, len(wanted), 8192):
+            some = wanted[k : k + 8192]
+            fresh.update(zip(some, self._encode_chunks(some), strict=True))
+        missing.update(fresh)
+        for chunk, core, tail in split:
+            missing[chunk] = missing[core] + missing[tail]
+        if len(self.young) + len(missing) > self.size:
+            self.old, self.young = self.young, {}
+        self.young.update(missing)
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Words of plain letters have one word-final token, so they can share one call; others get a call's entry each."""
-        plain = [c for c in chunks if c.isalpha()]
+        """Words of plain letters have one word-final token, so they can share one call; others get an entry each."""
+        plain = [c for c in chunks if c.isalpha() or c.decode().isalpha()]
         out: dict[bytes, bytes] = {}
         if plain:
-            ids = np.array(self._ids([b" ".join(plain)])[0], np.uint32)
-            cuts = np.flatnonzero(self.final[ids]) + 1
+            ids = np.array(self._ids([b" ".join(plain)])[0], "<u4")
+            cuts = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
             if len(cuts) == len(plain):
-                out = {c: p.astype("<u4").tobytes() for c, p in zip(plain, np.split(ids, cuts[:-1]), strict=True)}
-        rest = [c for c in chunks if c not in out]
+                raw = ids.tobytes()
+                out = {c: raw[a:b] for c, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
+        rest = [c for c in chunks if c not in out] if len(out) < len(chunks) else []
         out.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(rest, self._ids(rest), strict=True))
         return [out[c] for c in chunks]
 
