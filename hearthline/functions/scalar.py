@@ -44,10 +44,14 @@ def token(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
 
-@F.pandas_udf("string")
-def nfkc(x: pd.Series) -> pd.Series:
+def nfkc(x: Column) -> Column:
     """Unicode compatibility composition, which Spark has no built-in for (SCL07)."""
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+    @F.pandas_udf("string")
+    def compose(values: pd.Series) -> pd.Series:
+        return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+    return compose(x)
 
 
 def blank_to_empty(x: Column) -> Column:
