@@ -32,6 +32,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # The shuffle files of that job are unreachable now; let the cleaner see it before a driver's next own collection.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

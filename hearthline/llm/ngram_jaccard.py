@@ -9,9 +9,10 @@ class from the start. Three steps find every link between classes, and so the co
 2. Token-group matrix. Tokens are ordered by rarity (tokens that are frequent anywhere come last)
    and, by the prefix principle, two sets of the wanted similarity share one of their first
    ``n - ceil(0.8 n) + 1``. The matrix keeps the groups of each such token; tokens that one group has
-   alone are dropped. Groups that share a token are compared from the smaller one: each of its
-   documents is a query, bounded against the token union of every block of the other group.
-3. Only blocks that qualify are opened, and their members compared exactly.
+   alone are dropped. Each class is a query against the groups at least as large as its own: the
+   tokens it finds in a group's row bound its overlap with every set of that group.
+3. Groups that qualify are opened block by block, each behind a second bound by the block's whole
+   token union, and members of qualified blocks are compared exactly.
 
 The links of 1 and 3 give the final components. Only candidates' sets are ever shuffled.
 """
@@ -240,40 +241,51 @@ def _prefixes(docs: DataFrame, members: DataFrame, frequent: np.ndarray) -> Data
     return docs.select("row", "text").mapInArrow(cut, "row long, n long, prefix array<long>").join(members, "row")
 
 
-def _candidate_groups(prefixes: DataFrame) -> DataFrame:
-    """(g, h): groups that share a prefix token and hold sets of sizes that can be linked."""
-    entries = prefixes.select(F.explode("prefix").alias("token"), "group", "n")
+def _qualified(prefixes: DataFrame) -> DataFrame:
+    """(query, group): classes and other groups, at least as large, whose shared prefix tokens allow a link.
+
+    Of a query's ``p`` prefix tokens let ``i`` be in the group's row of the matrix. Whichever set's
+    prefix ends first in the token order, its tokens outside the other's prefix are not shared at all,
+    so at most ``n - p + i`` tokens of that set are. A link needs 0.8 / 1.8 of both sizes together;
+    the bound is taken at the partner size that favours a link most, so it never loses one.
+    """
+    entries = prefixes.select(F.explode("prefix").alias("token"), "row", "n", "group", "size")
     shared = entries.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    matrix = entries.join(shared, "token").groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = materialise(matrix, "matrix")
-    other = matrix.select("token", F.col("group").alias("h"), F.col("least").alias("l2"), F.col("most").alias("m2"))
-    met = matrix.withColumnRenamed("group", "g").join(other, "token").where("g < h")
-    met = met.where((F.col("most") * DENOMINATOR >= F.col("l2") * NUMERATOR) & (F.col("m2") * DENOMINATOR >= F.col("least") * NUMERATOR))
-    return met.select("g", "h").distinct()
-
-
-def _queries(candidates: DataFrame, members: DataFrame) -> DataFrame:
-    """(query, block): every class of a candidate pair's smaller group with every block of the other."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
-    a = sizes.select(F.col("group").alias("g"), F.col("size").alias("gs"))
-    b = sizes.select(F.col("group").alias("h"), F.col("size").alias("hs"))
-    sides = candidates.join(a, "g").join(b, "h")
-    small = F.col("gs") <= F.col("hs")
-    sides = sides.select(F.when(small, F.col("g")).otherwise(F.col("h")).alias("of"), F.when(small, F.col("h")).otherwise(F.col("g")).alias("to"))
-    blocks = members.select(F.col("group").alias("to"), "block").distinct()
-    asks = sides.join(members.select(F.col("group").alias("of"), F.col("row").alias("query")), "of")
-    return asks.join(blocks, "to").select("query", "block")
-
-
-def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) that the queries find: first the bound by the block's union, then the block's members."""
-    held = members.join(sets, "row")
+    entries = materialise(entries.join(shared, "token"), "entries")
+    matrix = entries.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("held"))
+    matrix = matrix.withColumnRenamed("group", "other")
+    met = entries.join(matrix, "token").where((F.col("held") > F.col("size")) | ((F.col("held") == F.col("size")) & (F.col("other") > F.col("group"))))
+    met = met.groupBy(F.col("row").alias("query"), "other").agg(F.count("*").alias("i"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    n, i, least, most = F.col("n"), F.col("i"), F.col("least"), F.col("most")
+    near = F.greatest(least, F.expr(f"(n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}"))
+    far = F.least(most, F.expr(f"(n * {DENOMINATOR}) div {NUMERATOR}"))
+
+    def outside(m):
+        return F.ceil(m * NUMERATOR / DENOMINATOR) - 1
+
+    def enough(m, most_shared):
+        return most_shared * (DENOMINATOR + NUMERATOR) >= (n + m) * NUMERATOR
+
+    fits = (least <= n * DENOMINATOR / NUMERATOR) & (most >= n * NUMERATOR / DENOMINATOR)
+    fits &= enough(near, outside(n) + i) | enough(far, outside(far) + i)
+    return met.where(fits).select("query", F.col("other").alias("group"))
+
+
+def _opened(queries: DataFrame, members: DataFrame, source: DataFrame) -> DataFrame:
+    """Links (a, b) that the queries find. A group of one is compared at once; of larger ones each
+    block's token union bounds the query first, and only blocks that qualify are opened."""
+    asked = materialise(queries.join(members.withColumnRenamed("row", "b"), "group"), "asked")
+    rows = asked.select(F.col("query").alias("row")).union(asked.select(F.col("b").alias("row"))).distinct()
+    sets = materialise(_sets(source, rows), "sets")
+    alone = asked.where("size = 1").select(F.col("query").alias("a"), "b")
 
     def unite(table: pa.Table) -> pa.Table:
         tokens = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]))
         return pa.table({"block": table["block"].slice(0, 1), "union": pa.array([tokens.tobytes()], pa.binary())})
 
-    unions = held.select("block", "tokens").groupBy("block").applyInArrow(unite, "block string, union binary")
+    several = asked.where("size > 1")
+    held = several.select("block", F.col("b").alias("row")).distinct().join(sets, "row").select("block", "tokens")
+    unions = held.groupBy("block").applyInArrow(unite, "block string, union binary")
 
     def bound(batches):
         for batch in batches:
@@ -281,10 +293,10 @@ def _opened(queries: DataFrame, members: DataFrame, sets: DataFrame) -> DataFram
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["query", "block"])
 
-    asked = queries.join(sets.select(F.col("row").alias("query"), "tokens"), "query").join(unions, "block")
-    qualified = asked.select("query", "block", "tokens", "union").mapInArrow(bound, "query long, block string")
-    pairs = qualified.join(members.select("block", F.col("row").alias("b")), "block").select(F.col("query").alias("a"), "b", F.lit(1).alias("salts"))
-    return _verified(pairs, sets)
+    bounded = several.select("query", "block").distinct().join(sets.select(F.col("row").alias("query"), "tokens"), "query").join(unions, "block")
+    open_ = bounded.select("query", "block", "tokens", "union").mapInArrow(bound, "query long, block string")
+    pairs = several.join(open_, ["query", "block"]).select(F.col("query").alias("a"), "b").unionByName(alone)
+    return _verified(pairs.withColumn("salts", F.lit(1)), sets)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,15 +325,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_verified(proposals, sets), "links")
     groups = components(links)
     members = reps.select("row").join(groups.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("group"))
-    big = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    members = members.join(big, "group", "left").withColumn("cell", F.pmod(F.xxhash64("row"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)))
-    members = materialise(members.select("row", "group", F.concat_ws(":", "group", "cell").alias("block")), "members")
-    prefixes = _prefixes(source, members.select("row", "group"), _frequent_table(summaries))
-    candidates = materialise(_candidate_groups(prefixes), "candidates")
-    queries = materialise(_queries(candidates, members), "queries")
-    blocks = queries.select("block").distinct().join(members, "block").select("row")
-    sets = materialise(_sets(source, queries.select(F.col("query").alias("row")).union(blocks).distinct()), "sets")
-    more = materialise(_opened(queries, members, sets), "links")
+    large = members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    members = members.join(large, "group", "left").select("row", "group", F.coalesce("size", F.lit(1)).alias("size"))
+    cell = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
+    members = materialise(members.withColumn("block", F.concat_ws(":", "group", cell)), "members")
+    prefixes = materialise(_prefixes(source, members.select("row", "group", "size"), _frequent_table(summaries)), "prefixes")
+    queries = materialise(_qualified(prefixes), "queries")
+    more = materialise(_opened(queries, members, source), "links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_row")
     placed = classes.join(final, "class_row", "left").withColumn("root", F.coalesce("component", "class_row"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
