@@ -37,6 +37,8 @@ BLOCK = 32
 FREQUENT_BITS = 24
 #: A token is locally frequent in this many documents of a task, and frequent in this many overall.
 LOCAL, OVERALL = 3, 24
+#: Prefixes are cut anew this often after putting tokens that more than HEAVY prefixes share at the end of the order.
+REFINE, HEAVY = 2, 8
 
 
 def _tokens(column: pa.Array, size: int):
@@ -127,24 +129,22 @@ def _summaries(docs: DataFrame) -> DataFrame:
 _NAMES = ["row", "id", "n", "s1", "s2", "bands", "token", "local"]
 
 
-def _frequent_table(summaries: DataFrame) -> np.ndarray:
-    """A bit per token place: set for tokens that many documents hold. Its size is fixed; it only orders tokens.
+def _frequent_table(tokens: DataFrame) -> np.ndarray:
+    """A bit per token place: set for tokens (token, n) that many documents hold. Its size is fixed; it only orders tokens.
 
     The limit on "many" rises by doubling until at most an eighth of the bits are set.
     """
-    often = summaries.where("token is not null").groupBy("token").agg(F.sum("local").alias("n")).where(F.col("n") >= OVERALL)
     place = F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("place")
-    places = materialise(often.groupBy(place).agg(F.floor(F.log2(F.max("n") / OVERALL)).cast("int").alias("level")), "frequent")
-    sizes = dict(places.groupBy("level").count().collect())
+    places = materialise(tokens.groupBy(place).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")), "frequent")
+    sizes = dict(places.groupBy("level").count().collect())  # one row per power of two
     level = 0
     while sum(n for k, n in sizes.items() if k >= level) > (1 << FREQUENT_BITS) // 8:
         level += 1
-    chunks = places.where(F.col("level") >= level).mapInArrow(_bitmap, "part int, bits binary")
+    chunks = places.where(F.col("level") >= level).select("place").mapInArrow(_bitmap, "part int, bits binary")
     bits = np.zeros(1 << (FREQUENT_BITS - 3), np.uint8)
-    for part, piece in chunks.groupBy("part").agg(F.collect_list("bits")).toLocalIterator():
-        step = len(bits) // _PARTS
-        for one in piece:
-            bits[part * step : (part + 1) * step] |= np.frombuffer(one, np.uint8)
+    step = len(bits) // _PARTS
+    for part, piece in chunks.toLocalIterator():
+        bits[part * step : (part + 1) * step] |= np.frombuffer(piece, np.uint8)
     return bits
 
 
@@ -241,6 +241,23 @@ def _prefixes(docs: DataFrame, members: DataFrame, frequent: np.ndarray) -> Data
     return docs.select("row", "text").mapInArrow(cut, "row long, n long, prefix array<long>").join(members, "row")
 
 
+def _ordered_prefixes(source: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Prefixes under an order that puts frequent tokens last.
+
+    What tasks saw to be frequent comes first; then the prefixes themselves are counted, exactly and
+    over all documents, and tokens that too many of them share (in different groups) are put last too.
+    Any order is right for the prefix principle; this one keeps a passage that many documents quote
+    out of their prefixes.
+    """
+    often = summaries.where("token is not null").groupBy("token").agg(F.sum("local").alias("n")).where(F.col("n") >= OVERALL)
+    frequent = _frequent_table(often)
+    for _ in range(REFINE):
+        entries = _prefixes(source, members, frequent).select(F.explode("prefix").alias("token"), "group")
+        counts = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+        frequent |= _frequent_table(counts.where((F.col("n") > HEAVY) & (F.col("low") != F.col("high"))).select("token", "n"))
+    return materialise(_prefixes(source, members, frequent), "prefixes")
+
+
 def _qualified(prefixes: DataFrame) -> DataFrame:
     """(query, group): classes and other groups, at least as large, whose shared prefix tokens allow a link.
 
@@ -329,7 +346,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(large, "group", "left").select("row", "group", F.coalesce("size", F.lit(1)).alias("size"))
     cell = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
     members = materialise(members.withColumn("block", F.concat_ws(":", "group", cell)), "members")
-    prefixes = materialise(_prefixes(source, members.select("row", "group", "size"), _frequent_table(summaries)), "prefixes")
+    prefixes = _ordered_prefixes(source, members.select("row", "group", "size"), summaries)
     queries = materialise(_qualified(prefixes), "queries")
     more = materialise(_opened(queries, members, source), "links")
     final = components(links.unionByName(more)).withColumnRenamed("node", "class_row")
