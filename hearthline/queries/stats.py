@@ -84,7 +84,7 @@ def pseudo_p(spark, d):
     return rows.select("unit", M.two_sided_p(F.col("obs"), F.col("sims")).alias("p"))
 
 
-@query("moran_graph_hash", with_sql("units edges", """WITH n AS (SELECT family, src, '[' || src || ',[' || string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) || ']]' AS t FROM edges GROUP BY ALL)
+@query("moran_graph_hash", with_sql("units edges", """WITH n AS (SELECT family, src, '[' || src || ',[' || string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) || ']]' AS t FROM edges GROUP BY family, src)
 SELECT family, sha256('[' || string_agg(t, ',' ORDER BY src) || ']') AS weights_sha256 FROM n GROUP BY family"""))
 def graph(spark, d):
     return M.graph_hash(S.edges(spark, d))
