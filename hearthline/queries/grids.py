@@ -113,7 +113,7 @@ def sample_points(spark, d):
     with_sql(
         "grid class_p",
         """SELECT r // 64 AS band, count(*) FILTER (cls = 0) AS nonwui_pix, count(*) FILTER (cls = 1) AS intermix_pix, count(*) FILTER (cls = 2) AS interface_pix,
-count(*) AS valid_pix, count(*) FILTER (cls > 0) AS wui_pix, round(count(*) FILTER (cls > 0) * 0.0009, 6) AS wui_km2, round(count(*) * 0.0009, 6) AS valid_km2 FROM class_p GROUP BY 1""",
+count(*) AS valid_pix, count(*) FILTER (cls > 0) AS wui_pix, round(CAST(count(*) FILTER (cls > 0) AS DOUBLE) * 0.0009, 6) AS wui_km2, round(CAST(count(*) AS DOUBLE) * 0.0009, 6) AS valid_km2 FROM class_p GROUP BY 1""",
     ),
 )
 def histogram(spark, d):

@@ -38,7 +38,7 @@ def counts(spark, d):
 
 @query("pair_final", with_sql("grid class_p class_z", f"""WITH {_PAIR}, {_FINAL}, u AS (SELECT *, a_wui_common + b_wui_common - both_wui AS union_pix FROM y)
 SELECT *, round(CASE WHEN union_pix > 0 THEN both_wui / union_pix END, 12) AS jaccard, round(CASE WHEN common_valid > 0 THEN (both_wui + both_non_wui) / common_valid END, 12) AS agreement,
-round(both_wui * 0.0009, 6) AS intersection_km2, round(union_pix * 0.0009, 6) AS union_km2, true AS grid_closed, true AS union_closed, true AS domain_closed FROM u"""))
+round(CAST(both_wui AS DOUBLE) * 0.0009, 6) AS intersection_km2, round(CAST(union_pix AS DOUBLE) * 0.0009, 6) AS union_km2, true AS grid_closed, true AS union_closed, true AS domain_closed FROM u"""))
 def final(spark, d):
     return _pairs(spark, d)
 
