@@ -38,7 +38,7 @@ FREQUENT_BITS = 24
 #: A token is locally frequent in this many documents of a task, and frequent in this many overall.
 LOCAL, OVERALL = 3, 24
 #: Prefixes are cut anew this often after putting tokens that more than HEAVY prefixes share at the end of the order.
-REFINE, HEAVY = 2, 8
+REFINE, HEAVY = 2, 4
 
 
 def _tokens(column: pa.Array, size: int):
@@ -215,8 +215,8 @@ def _proposals(reps: DataFrame) -> DataFrame:
     return pairs.select("a", "b", (F.floor(F.col("many") / 256) + 1).cast("int").alias("salts"))
 
 
-def _prefixes(docs: DataFrame, members: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, n, group, prefix tokens) of every class, rarest first by the frequent table."""
+def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(row, n, prefix tokens) of every row with tokens, rarest first by the frequent table."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches):
@@ -238,24 +238,23 @@ def _prefixes(docs: DataFrame, members: DataFrame, frequent: np.ndarray) -> Data
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), lists], ["row", "n", "prefix"])
 
-    return docs.select("row", "text").mapInArrow(cut, "row long, n long, prefix array<long>").join(members, "row")
+    return docs.select("row", "text").mapInArrow(cut, "row long, n long, prefix array<long>")
 
 
 def _ordered_prefixes(source: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
     """Prefixes under an order that puts frequent tokens last.
 
     What tasks saw to be frequent comes first; then the prefixes themselves are counted, exactly and
-    over all documents, and tokens that too many of them share (in different groups) are put last too.
+    over all documents, and tokens that more than HEAVY of them share are put last too.
     Any order is right for the prefix principle; this one keeps a passage that many documents quote
     out of their prefixes.
     """
     often = summaries.where("token is not null").groupBy("token").agg(F.sum("local").alias("n")).where(F.col("n") >= OVERALL)
     frequent = _frequent_table(often)
     for _ in range(REFINE):
-        entries = _prefixes(source, members, frequent).select(F.explode("prefix").alias("token"), "group")
-        counts = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
-        frequent |= _frequent_table(counts.where((F.col("n") > HEAVY) & (F.col("low") != F.col("high"))).select("token", "n"))
-    return materialise(_prefixes(source, members, frequent), "prefixes")
+        counts = _prefixes(source, frequent).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        frequent |= _frequent_table(counts.where(F.col("n") > HEAVY))
+    return materialise(_prefixes(source, frequent).join(members, "row"), "prefixes")
 
 
 def _qualified(prefixes: DataFrame) -> DataFrame:
