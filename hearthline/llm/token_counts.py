@@ -5,6 +5,10 @@ follows. Every node has a failure link and the number of pieces that are popped
 greedy longest-match lengths come from one pass over a word's characters and no piece is built.
 Transitions with their pops are completed as they are met, and a bounded cache keeps the counts of
 words that were seen.
+
+A word is cut as ``▁`` and its characters: the root of the beginnings stands for ``▁``, which is a
+piece of its own where no longer piece begins the word. Where the vocabulary has byte pieces, a
+character outside it counts as its UTF-8 bytes, and the word is among n_unknown.
 """
 
 from __future__ import annotations
@@ -21,13 +25,18 @@ CACHE = 500_000
 
 
 class Automaton:
-    """Counts greedy longest-match pieces of words; a word that cannot be cut whole is one unknown token."""
+    """Counts greedy longest-match pieces of words.
+
+    An empty head is a piece that may come before any tail. With ``fallback`` a character that is no
+    piece counts as its UTF-8 bytes; without it a word that cannot be cut whole is one unknown token.
+    """
 
     HEAD, TAIL = 0, 1
 
-    def __init__(self, heads: list[str], tails: list[str]):
+    def __init__(self, heads: list[str], tails: list[str], fallback: bool = False):
+        self.fallback = fallback
         self.next: list[dict[str, int]] = [{}, {}]
-        ends = [False, False]
+        ends = [0, 0]
         for root, pieces in ((self.HEAD, heads), (self.TAIL, tails)):
             for piece in pieces:
                 node = root
@@ -35,17 +44,26 @@ class Automaton:
                     if char not in self.next[node]:
                         self.next[node][char] = len(self.next)
                         self.next.append({})
-                        ends.append(False)
+                        ends.append(0)
                     node = self.next[node][char]
                 if piece:
-                    ends[node] = True
+                    ends[node] = 1
+        if fallback:
+            for char in sorted({c for piece in (*heads, *tails) for c in piece}):
+                node = self.next[self.TAIL].setdefault(char, len(self.next))
+                if node == len(self.next):
+                    self.next.append({})
+                    ends.append(0)
+                ends[node] = ends[node] or self._bytes(char)
         self.link: list[int] = [-1] * len(self.next)
         self.pops: list[int] = [0] * len(self.next)
+        if "" in heads:
+            self.link[self.HEAD], self.pops[self.HEAD] = self.TAIL, 1
         queue = [self.HEAD, self.TAIL]
         for node in queue:
             for char, child in self.next[node].items():
                 if ends[child]:
-                    self.link[child], self.pops[child] = self.TAIL, 1
+                    self.link[child], self.pops[child] = self.TAIL, ends[child]
                 else:
                     at, popped = self.link[node], self.pops[node]
                     while at >= 0 and char not in self.next[at]:
@@ -56,18 +74,27 @@ class Automaton:
                 queue.append(child)
         self.moves: list[dict[str, tuple[int, int]]] = [{} for _ in self.next]
 
+    @staticmethod
+    def _bytes(char: str) -> int:
+        return UNKNOWN + len(char.encode())
+
     def _move(self, node: int, char: str) -> tuple[int, int]:
         """(node after the character or -1, pieces popped before it)."""
         at, popped = node, 0
         while at >= 0 and char not in self.next[at]:
             popped += self.pops[at]
             at = self.link[at]
-        found = (self.next[at][char] if at >= 0 else -1, popped)
+        if at >= 0:
+            found = self.next[at][char], popped
+        elif self.fallback:
+            found = self.TAIL, popped + self._bytes(char)
+        else:
+            found = -1, popped
         self.moves[node][char] = found
         return found
 
     def count(self, word: str) -> int:
-        """Pieces of the word, or ``UNKNOWN + 1``."""
+        """Pieces of the word, and ``UNKNOWN`` more where it holds a character outside the vocabulary."""
         node, total, moves = self.HEAD, 0, self.moves
         for char in word:
             node, popped = moves[node].get(char) or self._move(node, char)
@@ -79,24 +106,35 @@ class Automaton:
             node = self.link[node]
             if node < 0:
                 return UNKNOWN + 1
-        return total
+        return total if total < UNKNOWN else total % UNKNOWN + UNKNOWN
 
 
 def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
-    """(pieces that begin a word, pieces that go on) of a sentencepiece model's vocabulary."""
+    """(pieces that begin a word, pieces that go on) of a sentencepiece model's vocabulary; the lone ``▁`` is an empty beginning.
+
+    Only a ``▁`` in the text itself makes a piece with one go on.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     pieces = [model.id_to_piece(i) for i in plain]
-    return [p[1:] for p in pieces if p.startswith("▁") and len(p) > 1], [p for p in pieces if not p.startswith("▁")]
+    return [p[1:] for p in pieces if p.startswith("▁")], pieces
+
+
+def has_bytes(path: str) -> bool:
+    """Whether a sentencepiece model's vocabulary has byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return any(model.is_byte(i) for i in range(model.vocab_size()))
 
 
 class WordCounter:
     """Counts per word behind a two-generation cache."""
 
     def __init__(self, path: str):
-        self.automaton = Automaton(*sentencepiece_vocabulary(path))
+        self.automaton = Automaton(*sentencepiece_vocabulary(path), has_bytes(path))
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
 

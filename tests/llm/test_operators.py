@@ -131,6 +131,32 @@ def test_token_counts(spark, docs):
     assert token_counts.count_tokens(empty(docs)).count() == 0
 
 
+def test_token_counts_of_whole_words(spark):
+    """Words that only the lone ▁ or byte pieces can begin, against counts that are written out and against the model's own pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
+    pieces = {model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def count(word):
+        at, n, unknown, word = 0, 0, 0, "▁" + word
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+            n += 1 if end else len(word[at].encode())
+            unknown |= end is None
+            at = end or at + 1
+        return n, unknown
+
+    known = {"0810992847249404": (17, 0), "2024": (5, 0), "中文字符测试": (7, 0), "ñ": (2, 0), "\U000130BF": (5, 1), "2\U000130BF4": (7, 1)}
+    rng = random.Random(11)
+    words = [*known, "▁2"] + ["".join(rng.choice("ab19éñß中▁\U000130BF") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    assert all(count(w) == known[w] for w in known)
+    table = spark.createDataFrame(list(enumerate([*words, " ".join(words)])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["n_unknown"]) for r in token_counts.count_tokens(table).collect()}
+    want = [count(w) for w in words]
+    assert got == dict(enumerate([*want, (sum(w[0] for w in want), sum(w[1] for w in want))]))
+
+
 def test_automaton_against_greedy_matching():
     rng = random.Random(3)
     pieces = lambda: ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(8)]
