@@ -1,7 +1,9 @@
 """Personal data by bootstrapped contextual extraction, with SQL functions only.
 
-Base patterns find the seeds: e-mail, IP, card and phone spans. Every word with a digit or ``@`` is a
-possible identifier; its lexical pattern is the word before it, the word after it and its own shape.
+Base patterns find the seeds: e-mail, IP, card and phone spans, of however many words. Every word with
+a digit or ``@`` and every match of a base pattern that is not valid is a possible identifier; a word
+that holds a seed is one too. Its lexical pattern is what stands before it, what stands after it and
+its own shape; the edge of a text and a neighbouring identifier (by its shape) are contexts as well.
 Patterns are scored by the seeds among the different identifiers they surround, identifiers by the
 patterns they occur in, in turn, on a graph that only holds patterns with enough seeds. Identifiers
 that confident patterns surround are added to the spans. Texts are read once and never shuffled.
@@ -35,6 +37,7 @@ IDENTIFIER = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
 CONTEXT = 40
 ROUNDS, LEAST_SEEDS, CONFIDENT = 3, 5, 0.9
 SPANS = "array<struct<start:int,end:int,kind:int>>"
+WORDS = "array<struct<start:int,end:int,word:string,left:string,right:string,kind:int>>"
 
 
 def _digits(match: Column) -> Column:
@@ -53,15 +56,15 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def _located(text: Column, pattern: str, more) -> Column:
-    """Matches in order with code-point places: array of (start, end, m, ...); ``more(parts, m, i)`` adds fields.
+    """Matches in order with code-point places: array of (start, end, m, ...); ``more(found, parts, m, i)`` adds fields.
 
     The text between the matches comes from splitting at the same pattern.
     """
 
-    def place(parts: Column) -> Column:
+    def place(found: Column, parts: Column) -> Column:
         cells = F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda m, i: F.struct(F.char_length(F.get(parts, i)).alias("gap"), F.char_length(m).alias("size"), m.alias("m"), *more(parts, m, i)),
+            found,
+            lambda m, i: F.struct(F.char_length(F.get(parts, i)).alias("gap"), F.char_length(m).alias("size"), m.alias("m"), *more(found, parts, m, i)),
         )
         # A running sum, kept beside the cells so far.
         kind = "array<struct<start:int,end:int>>"
@@ -76,15 +79,16 @@ def _located(text: Column, pattern: str, more) -> Column:
         )
         return F.zip_with(places, cells, lambda p, x: F.struct(p["start"].alias("start"), p["end"].alias("end"), x.alias("x")))
 
-    return let(F.split(text, pattern, -1), place)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda f: let(F.split(text, pattern, -1), lambda parts: place(f, parts)))
 
 
-def _base(text: Column, kind: str) -> Column:
-    order = KINDS.index(kind)
-    found = F.filter(_located(text, PATTERNS[kind], lambda parts, m, i: []), lambda s: _valid(kind, s["x"]["m"]))
-    spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(order).alias("kind")))
+def _matches(text: Column, kind: str) -> Column:
+    """All matches of a base pattern with what stands around them; kind is null where a match is not valid."""
+    order = F.lit(KINDS.index(kind))
+    found = F.transform(_around(text, PATTERNS[kind]), lambda w: w.withField("kind", F.when(_valid(kind, w["word"]), order)))
     possible = text.contains(NEEDS[kind]) if NEEDS[kind] else F.lit(True)
-    return F.when(possible, spans).otherwise(F.array().cast(SPANS))
+    return F.when(possible, found).otherwise(F.array().cast(WORDS))
 
 
 def _shape(word: Column) -> Column:
@@ -92,16 +96,24 @@ def _shape(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, "[0-9]+", "9"), "[A-Za-z]+", "a")
 
 
-def _identifiers(text: Column) -> Column:
-    """Possible identifiers with the words around them."""
+def _around(text: Column, pattern: str) -> Column:
+    """Matches of a pattern with what stands around them: the next word, else the neighbouring match, else nothing at an edge."""
+    plain = lambda side: F.regexp_replace(side, "[0-9]+", "9")
 
-    def around(parts: Column, m: Column, i: Column) -> list[Column]:
-        before, after = F.get(parts, i), F.get(parts, i + 1)
-        left = F.regexp_extract(F.right(before, F.lit(CONTEXT)), rf"({WORD}+){GAP}*$", 1)
-        right = F.regexp_extract(F.left(after, F.lit(CONTEXT)), rf"^{GAP}*({WORD}+)", 1)
+    def around(found: Column, parts: Column, m: Column, i: Column) -> list[Column]:
+        before, after = F.right(F.get(parts, i), F.lit(CONTEXT)), F.left(F.get(parts, i + 1), F.lit(CONTEXT))
+        left = F.regexp_extract(before, rf"({WORD}+){GAP}*$", 1)
+        right = F.regexp_extract(after, rf"^{GAP}*({WORD}+)", 1)
+        left = F.when(left != "", plain(left)).otherwise(_shape(F.right(F.coalesce(F.get(found, i - 1), F.lit("")), F.lit(CONTEXT))))
+        right = F.when(right != "", plain(right)).otherwise(_shape(F.left(F.coalesce(F.get(found, i + 1), F.lit("")), F.lit(CONTEXT))))
         return [left.alias("left"), right.alias("right")]
 
-    return _located(text, IDENTIFIER, around)
+    return F.transform(
+        _located(text, pattern, around),
+        lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["x"]["m"].alias("word"), s["x"]["left"].alias("left"), s["x"]["right"].alias("right"), F.lit(None).cast("int").alias("kind")
+        ),
+    )
 
 
 def _joined(spans: Column) -> Column:
@@ -125,9 +137,9 @@ def _seed_kind(word: Column) -> Column:
 
 
 def _discover(words: DataFrame) -> DataFrame:
-    """(row, start, end, kind) of identifiers that confident patterns surround, from (row, start, end, word, left, right)."""
-    known = words.where((F.col("left") != "") & (F.col("right") != "")).select(
-        "row", "start", "end", "word", F.lower(F.concat_ws("\x1f", "left", "right", _shape(F.col("word")))).alias("pattern"), _seed_kind(F.col("word")).alias("kind")
+    """(row, start, end, kind) of identifiers that confident patterns surround, from (row, start, end, word, left, right, kind)."""
+    known = words.select(
+        "row", "start", "end", "word", F.lower(F.concat_ws("\x1f", "left", "right", _shape(F.col("word")))).alias("pattern"), F.coalesce("kind", _seed_kind(F.col("word"))).alias("kind")
     )
     # Different identifiers of each pattern; partial aggregation keeps a very common pattern in many tasks.
     edges = known.groupBy("pattern", "word").agg(F.max("kind").alias("kind"))
@@ -154,20 +166,14 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     overlap base ones.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*[_base(F.col("text"), k) for k in KINDS])
-    words = F.transform(
-        _identifiers(F.col("text")),
-        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["x"]["m"].alias("word"), s["x"]["left"].alias("left"), s["x"]["right"].alias("right")),
-    )
     may = F.col("text").rlike("[0-9@]")
-    empty = F.array().cast("array<struct<start:int,end:int,word:string,left:string,right:string>>")
-    table = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), text.alias("text")).select(
-        "doc",
-        "version",
-        F.when(may, base).otherwise(F.array().cast(SPANS)).alias("base"),
-        F.when(may, words).otherwise(empty).alias("words"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+    none = F.array().cast(WORDS)
+    table = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    matches = F.concat(*[_matches(F.col("text"), k) for k in KINDS])
+    table = table.select("doc", "version", "row", F.when(may, matches).otherwise(none).alias("matches"), F.when(may, _around(F.col("text"), IDENTIFIER)).otherwise(none).alias("words"))
+    valid = F.filter("matches", lambda w: w["kind"].isNotNull())
+    base = F.transform(valid, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["kind"].alias("kind")))
+    table = table.select("doc", "version", "row", base.alias("base"), F.concat("words", "matches").alias("words"))
     table = materialise(table, "pii")
     added = _discover(table.select("row", F.explode("words").alias("w")).select("row", "w.*"))
     added = added.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("more"))

@@ -293,6 +293,18 @@ def test_pii_discovers_in_confident_contexts(spark):
     assert known and out[5000] == [(9, 25, 2)] and not any(v for k, v in out.items() if k != 5000)
 
 
+def test_pii_learns_from_spans_of_several_words(spark):
+    """Phones with spaces are seeds, at text edges and beside other identifiers too; one with too few digits is found by context."""
+    ways = [("call ", " today"), ("", " soon"), ("dial ", ""), ("room a12 ", " please"), ("ring ", " a7 days")]
+    rows, want = [(9999, "other words +1 (200) 55-13 elsewhere")], {9999: []}
+    for j, (before, after) in enumerate(ways):
+        rows += [(100 * j + k, f"{before}+1 ({200 + k}) 555-{7400 + k}{after}") for k in range(40)]
+        rows.append((100 * j + 50, f"{before}+1 (200) 55-12{after}"))
+        want |= {100 * j + k: [] for k in range(40)} | {100 * j + 50: [(len(before), len(before) + 14, 3)]}
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc"]: [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in out} == want
+
+
 def test_warc(spark, tmp_path):
     big = "<html>" + "x" * 200
     rows = [(3, "http://a b\n", big), (1, None, big), (2, "u", big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (7, "WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 20), (8, "é", "é中\r\n\r\n" * 100_000)]
