@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import kernel
@@ -257,6 +257,27 @@ def _ordered_prefixes(source: DataFrame, members: DataFrame, summaries: DataFram
     return materialise(_prefixes(source, frequent).join(members, "row"), "prefixes")
 
 
+def _may_link(n: Column, i: Column, least: Column, most: Column) -> Column:
+    """Whether a set of ``n`` tokens may link with one of ``least`` to ``most`` that has ``i`` of its prefix tokens.
+
+    The query's own part is best at the smallest partner. The partner's part grows with its size,
+    except that a multiple of 5 needs more than the size before it and leaves no more tokens outside
+    its prefix, so the largest size and the one before it are both tried.
+    """
+    near = F.greatest(least, -F.floor(-n * NUMERATOR / DENOMINATOR))
+    far = F.least(most, F.floor(n * DENOMINATOR / NUMERATOR))
+    before = F.greatest(near, far - 1)
+
+    def outside(m):
+        return F.ceil(m * NUMERATOR / DENOMINATOR) - 1
+
+    def enough(m, most_shared):
+        return most_shared * (DENOMINATOR + NUMERATOR) >= (n + m) * NUMERATOR
+
+    fits = (least <= n * DENOMINATOR / NUMERATOR) & (most >= n * NUMERATOR / DENOMINATOR)
+    return fits & (enough(near, outside(n) + i) | enough(far, outside(far) + i) | enough(before, outside(before) + i))
+
+
 def _qualified(prefixes: DataFrame) -> DataFrame:
     """(query, group): classes and other groups, at least as large, whose shared prefix tokens allow a link.
 
@@ -272,18 +293,7 @@ def _qualified(prefixes: DataFrame) -> DataFrame:
     matrix = matrix.withColumnRenamed("group", "other")
     met = entries.join(matrix, "token").where((F.col("held") > F.col("size")) | ((F.col("held") == F.col("size")) & (F.col("other") > F.col("group"))))
     met = met.groupBy(F.col("row").alias("query"), "other").agg(F.count("*").alias("i"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    n, i, least, most = F.col("n"), F.col("i"), F.col("least"), F.col("most")
-    near = F.greatest(least, F.expr(f"(n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR}"))
-    far = F.least(most, F.expr(f"(n * {DENOMINATOR}) div {NUMERATOR}"))
-
-    def outside(m):
-        return F.ceil(m * NUMERATOR / DENOMINATOR) - 1
-
-    def enough(m, most_shared):
-        return most_shared * (DENOMINATOR + NUMERATOR) >= (n + m) * NUMERATOR
-
-    fits = (least <= n * DENOMINATOR / NUMERATOR) & (most >= n * NUMERATOR / DENOMINATOR)
-    fits &= enough(near, outside(n) + i) | enough(far, outside(far) + i)
+    fits = _may_link(*map(F.col, ("n", "i", "least", "most")))
     return met.where(fits).select("query", F.col("other").alias("group"))
 
 

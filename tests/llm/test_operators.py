@@ -102,6 +102,22 @@ def test_ngram_jaccard(spark, docs, bands, monkeypatch):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == brute_components(rows_of(docs))
 
 
+def test_ngram_jaccard_bound_loses_no_link(spark):
+    """The bound over all small sizes, ranges and shared prefix tokens against every partner size."""
+    outside = lambda m: -(-4 * m // 5) - 1
+    rows, want = [], []
+    for n in range(1, 46):
+        sizes = range(-(-4 * n // 5), 5 * n // 4 + 1)
+        for low in sizes:
+            for high in range(low, sizes[-1] + 1):
+                for i in range(1, n - outside(n) + 1):
+                    rows.append((len(rows), n, i, low, high))
+                    want.append(any(180 * (max(outside(n), outside(m)) + i) >= 80 * (n + m) for m in range(low, high + 1)))
+    table = spark.createDataFrame(rows, "k long, n long, i long, least long, most long")
+    got = {r["k"] for r in table.where(ngram_jaccard._may_link(*map(F.col, ("n", "i", "least", "most")))).select("k").collect()}
+    assert got == {k for k, w in enumerate(want) if w}
+
+
 def test_ngram_jaccard_drops_and_empty(spark, docs):
     kept = ngram_jaccard.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
