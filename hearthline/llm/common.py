@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
@@ -18,35 +19,70 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is used.
+    Only on a single machine may the setting be absent; a temporary folder is used then.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="hearthline-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+#: Lets a query's shuffle files go when the query ends, instead of when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # The shuffle files of that job are unreachable now; let the cleaner see it before a driver's next own collection.
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/hearthline/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """Tables that only live within a ``with`` block; nothing that is lazily read later may depend on them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back."""
+        return _write(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this scratch folder that are not needed any more."""
+        for df in tables:
+            for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+                if path.rpartition("/")[0].endswith(self.folder.rpartition("/")[2]):
+                    self._delete(path)
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII strings take the fast built-in."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def words_of(col: Column) -> Column:
-    """The words of a text: maximal runs of anything but the six ASCII white-space characters."""
-    return F.filter(F.split(col, SPACE_CLASS + "+"), lambda w: w != "")
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,31 +1,37 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A token is the hash of a word shingle; a document is its set of tokens, and equal sets form one
-class from the start. Three steps find every link between classes, and so the components:
+A token is the 64-bit hash of a word shingle; a document is its set of tokens, and equal sets form
+one class from the start. "Exact" below is but for collisions of those hashes. Three steps find the
+components of all links between classes:
 
 1. Groups. Minhash bands propose, per bucket, links to the bucket's smallest document; those that
    hold exactly are kept. Their components are the groups, so a huge family of near copies is a few
-   groups and never a bucket's pairs.
-2. Token-group matrix. Tokens are ordered by rarity (tokens that are frequent anywhere come last)
-   and, by the prefix principle, two sets of the wanted similarity share one of their first
-   ``n - ceil(0.8 n) + 1``. The matrix keeps the groups of each such token; tokens that one group has
-   alone are dropped. Each class is a query against the groups at least as large as its own: the
-   tokens it finds in a group's row bound its overlap with every set of that group.
-3. Groups that qualify are opened block by block, each behind a second bound by the block's whole
-   token union, and members of qualified blocks are compared exactly.
-
-The links of 1 and 3 give the final components. Only candidates' sets are ever shuffled.
+   groups and never a bucket's pairs. What the bands miss is left to the next steps.
+2. Token-group matrix. Tokens are ordered by how many prefixes share them. Of two linked sets, the
+   first token in common lies in the larger one's prefix of ``n - ceil(0.8 n) + 1`` tokens and so
+   early in the smaller one that the tokens from there on can still be enough (``reach``). The matrix
+   keeps, per token and group, the bounds of its members; groups meet where a row has both, by those
+   bounds. Documents of one template that are too different to link meet nowhere: their own tokens
+   come first and the template's too late.
+3. The members of the smaller of two groups that meet are queries against the larger one. The tokens
+   a query finds in the group's rows bound its overlap with every set of it; groups that qualify are
+   opened block by block, each behind a second bound by the block's whole token union, and members of
+   qualified blocks are compared exactly.
+
+The links of 1 and 3 give the final components. Texts are never shuffled, and only candidates' sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm import kernel
-from hearthline.llm.common import materialise
+from hearthline.llm.common import Scratch, materialise
 from hearthline.llm.components import components
 
 SHINGLE = 5
@@ -33,12 +39,16 @@ NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 8, 2
 #: Documents in a block of a group; a block's token union is what a query is bounded against.
 BLOCK = 32
-#: Size in bits of the broadcast table of frequent tokens, whatever the corpus.
-FREQUENT_BITS = 24
+#: Proposals whose minhashes agree in fewer places than this are not compared (the matrix finds what that misses).
+AGREE = 8
+#: Places of the broadcast tables, as powers of two, whatever the corpus: token levels (LEVEL_WIDTH bits each), bits of shared tokens, bits of rows.
+LEVEL_BITS, LEVEL_WIDTH, SHARED_BITS, ROW_BITS = 26, 2, 26, 24
 #: A token is locally frequent in this many documents of a task, and frequent in this many overall.
 LOCAL, OVERALL = 3, 24
-#: Prefixes are cut anew this often after putting tokens that more than HEAVY prefixes share at the end of the order.
-REFINE, HEAVY = 2, 4
+#: Prefixes are counted, and cut anew with shared tokens later in the order, this often.
+REFINE = 2
+#: Candidates of one document that share a task when sets are joined to pairs.
+PER_SALT = 256
 
 
 def _tokens(column: pa.Array, size: int):
@@ -59,13 +69,15 @@ def _tokens(column: pa.Array, size: int):
 _MULTIPLIERS = kernel.fmix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _bands(tokens: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of minhashes."""
-    least = np.array([(tokens * m).min() for m in _MULTIPLIERS]).reshape(BANDS, ROWS)
+def _bands(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit key per band of minhashes, and a byte of each minhash."""
+    least = np.array([(tokens * m).min() for m in _MULTIPLIERS])
+    mins = (kernel.fmix(least) & np.uint64(255)).astype(np.uint8).view(np.int8)
+    least = least.reshape(BANDS, ROWS)
     keys = kernel.fmix(least[:, 0] + np.arange(BANDS, dtype=np.uint64))
     for k in range(1, ROWS):
         keys = kernel.fmix(keys ^ least[:, k])
-    return keys.astype(np.int64)
+    return keys.astype(np.int64), mins
 
 
 def _signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -87,7 +99,7 @@ def linked(shared, n, m):
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """(row, id, n, s1, s2, bands) of rows with tokens, and tokens that are frequent within a task as (token, local)."""
+    """(row, id, n, s1, s2, bands, mins) of all rows (n is 0 without words), and tokens that are frequent within a task as (token, local)."""
 
     def summarise(batches):
         local: list[np.ndarray] = []
@@ -101,80 +113,129 @@ def _summaries(docs: DataFrame) -> DataFrame:
             return values, np.bincount(place, np.concatenate([counts[1], n[often]]), len(values)).astype(np.int64)
 
         for batch in batches:
-            rows, sizes, ones, twos, bands = [], [], [], [], []
+            sizes = np.zeros(batch.num_rows, np.int64)
+            marks = np.zeros((2, batch.num_rows), np.int64)
+            bands = np.zeros((batch.num_rows, BANDS), np.int64)
+            mins = np.zeros((batch.num_rows, BANDS * ROWS), np.int8)
             for row, tokens in _tokens(batch.column(2), SHINGLE):
-                a, b = _signature(tokens)
-                rows.append(row)
-                sizes.append(len(tokens))
-                ones.append(a)
-                twos.append(b)
-                bands.append(_bands(tokens))
+                sizes[row] = len(tokens)
+                marks[:, row] = _signature(tokens)
+                bands[row], mins[row] = _bands(tokens)
                 local.append(tokens)
                 held += len(tokens)
                 if held > 2_000_000:
                     counts, local, held = fold(counts, local), [], 0
-            place = pa.array(rows, pa.int64())
-            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), flat)
-            none = pa.nulls(len(rows), pa.int64())
-            columns = [batch.column(0).take(place), batch.column(1).take(place), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), lists, none, none]
-            yield pa.RecordBatch.from_arrays(columns, _NAMES)
+            empty = sizes == 0
+            lists = _lists(bands, empty), _lists(mins, empty)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            ones, twos = (pa.array(m, mask=empty) for m in marks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), ones, twos, *lists, none, none], _NAMES)
         tokens, n = fold(counts, local)
-        gone = [pa.nulls(len(tokens), t) for t in (pa.int64(),) * 5]
-        yield pa.RecordBatch.from_arrays([*gone, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.array(tokens.astype(np.int64)), pa.array(n)], _NAMES)
+        gone = [pa.nulls(len(tokens), t) for t in (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays([*gone, pa.array(tokens.astype(np.int64)), pa.array(n)], _NAMES)
+
+    return docs.mapInArrow(summarise, "row long, id long, n long, s1 long, s2 long, bands array<long>, mins array<tinyint>, token long, local long")
+
+
+_NAMES = ["row", "id", "n", "s1", "s2", "bands", "mins", "token", "local"]
+
 
-    return docs.mapInArrow(summarise, "row long, id long, n long, s1 long, s2 long, bands array<long>, token long, local long")
+def _lists(values: np.ndarray, empty: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists; those marked empty have none."""
+    lengths = np.where(empty, 0, values.shape[1])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values[~empty].ravel()))
 
 
-_NAMES = ["row", "id", "n", "s1", "s2", "bands", "token", "local"]
+# --- tables of fixed size that are broadcast ---------------------------------------------------------
 
 
-def _frequent_table(tokens: DataFrame) -> np.ndarray:
-    """A bit per token place: set for tokens (token, n) that many documents hold. Its size is fixed; it only orders tokens.
+def _packed(places: DataFrame, bits: int, width: int) -> np.ndarray:
+    """``2**bits`` values of ``width`` bits each in 64-bit words, from (place, value): the largest value of a place, 0 where there is none.
 
-    The limit on "many" rises by doubling until at most an eighth of the bits are set.
+    Values are packed by a map-side combined aggregation, so the driver gets at most
+    ``2**bits * width / 64`` rows, whatever the corpus.
     """
-    place = F.shiftrightunsigned("token", 64 - FREQUENT_BITS).alias("place")
-    places = materialise(tokens.groupBy(place).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("level")), "frequent")
-    sizes = dict(places.groupBy("level").count().collect())  # one row per power of two
-    level = 0
-    while sum(n for k, n in sizes.items() if k >= level) > (1 << FREQUENT_BITS) // 8:
-        level += 1
-    chunks = places.where(F.col("level") >= level).select("place").mapInArrow(_bitmap, "part int, bits binary")
-    bits = np.zeros(1 << (FREQUENT_BITS - 3), np.uint8)
-    step = len(bits) // _PARTS
-    for part, piece in chunks.toLocalIterator():
-        bits[part * step : (part + 1) * step] |= np.frombuffer(piece, np.uint8)
-    return bits
+    per = 64 // width
+    values = places.groupBy("place").agg(F.max("value").cast("long").alias("value"))
+    word = F.shiftright("place", per.bit_length() - 1).alias("word")
+    shift = ((F.col("place") % per) * width).cast("int")
+    found = values.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.col("value"), shift)).alias("held")).toArrow()
+    table = np.zeros((1 << bits) // per, np.uint64)
+    table[found["word"].to_numpy()] = found["held"].to_numpy().view(np.uint64)
+    return table
+
+
+def _look(table: np.ndarray, hashes: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The values at the places of 64-bit hashes."""
+    place = hashes >> np.uint64(64 - bits)
+    per = 64 // width
+    word = table[(place >> np.uint64(per.bit_length() - 1)).astype(np.int64)]
+    return (word >> ((place & np.uint64(per - 1)) * np.uint64(width))) & np.uint64((1 << width) - 1)
+
+
+def _place(column: str, bits: int) -> Column:
+    return F.shiftrightunsigned(column, 64 - bits).alias("place")
+
+
+def _powers(counts: DataFrame) -> DataFrame:
+    """(place, power): the power of two of the prefixes that share a token of that place, from (token, n)."""
+    return counts.where("n > 1").groupBy(_place("token", LEVEL_BITS)).agg(F.floor(F.log2(F.max("n"))).cast("int").alias("power"))
+
+
+def _levels(powers: list[DataFrame]) -> np.ndarray:
+    """A level per token place; two powers of two are a level. It only orders tokens.
+
+    The least power that counts rises until at most an eighth of the places have a level.
+    """
+    places = reduce(DataFrame.unionByName, powers).groupBy("place").agg(F.max("power").alias("power"))
+    sizes = dict(places.groupBy("power").count().collect())  # one row per power of two
+    least = 1
+    while sum(n for k, n in sizes.items() if k >= least) > (1 << LEVEL_BITS) // 8:
+        least += 1
+    level = F.least(F.floor((F.col("power") - least) / 2) + 1, F.lit((1 << LEVEL_WIDTH) - 1))
+    return _packed(places.where(F.col("power") >= least).select("place", level.alias("value")), LEVEL_BITS, LEVEL_WIDTH)
+
+
+def _bits(column: DataFrame, bits: int) -> np.ndarray:
+    """A bit per place, set for every value of the only column (a long whose high bits are well mixed)."""
+    return _packed(column.select(_place(column.columns[0], bits), F.lit(1).alias("value")), bits, 1)
+
+
+def _row_bits(rows: DataFrame) -> np.ndarray:
+    """A bit table of row numbers; rows that are not among them may be let through, those that are always are."""
+    return _bits(rows.select(F.xxhash64("row").alias("h")), ROW_BITS)
+
 
+def _only(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
+    """``docs`` with the hash of each row, and a broadcast bit table of ``rows``."""
+    return docs.select("row", "text", F.xxhash64("row").alias("h")), docs.sparkSession.sparkContext.broadcast(_row_bits(rows))
 
-_PARTS = 16
 
+def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    return batch.filter(pa.array(_look(bits, batch.column(2).to_numpy().view(np.uint64), ROW_BITS, 1).astype(bool)))
 
-def _bitmap(batches):
-    bits = np.zeros(1 << FREQUENT_BITS, bool)
-    for batch in batches:
-        bits[batch.column(0).to_numpy()] = True
-    packed = np.packbits(bits).reshape(_PARTS, -1)
-    used = np.flatnonzero(packed.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[k].tobytes() for k in used], pa.binary())], ["part", "bits"])
+
+# --- exact comparison ------------------------------------------------------------------------------
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, tokens) of the rows in ``wanted``, made anew from their texts."""
+    """(row, tokens) of the rows in ``wanted`` and of a few others, made anew from their texts where they lie."""
+    docs, table = _only(docs, wanted)
 
     def make(batches):
         for batch in batches:
-            rows, sets = [], []
+            batch = _chosen(batch, table.value)
+            rows, sets, held = [], [], 0
             for row, tokens in _tokens(batch.column(1), SHINGLE):
                 rows.append(row)
                 sets.append(tokens.tobytes())
-                if len(rows) == 256:
+                held += len(tokens)
+                if held > 200_000:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sets, pa.binary())], ["row", "tokens"])
-                    rows, sets = [], []
+                    rows, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], ["row", "tokens"])
 
-    return docs.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(make, "row long, tokens binary")
+    return docs.mapInArrow(make, "row long, tokens binary")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -185,10 +246,19 @@ def _shared(a: bytes, b: bytes) -> int:
     return int((y[np.minimum(spot, len(y) - 1)] == x).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("row").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("row").alias("b"), F.col("tokens").alias("tb"))
+def _with_sets(wide: DataFrame, pairs: DataFrame, key: str, other: str, sets: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """``wide``, the rows of ``pairs`` with other columns, plus the set of ``key`` as ``name``; a key with very many pairs is dealt to several tasks."""
+    salts = pairs.groupBy(key).agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")).where("salts > 1")
+    salts = scratch.table(salts, "salts")
+    held = sets.select(F.col("row").alias(key), F.col("tokens").alias(name)).join(salts, key, "left").fillna(1, ["salts"])
+    held = held.select(key, name, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = wide.join(salts, key, "left").fillna(1, ["salts"])
+    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts")
+    return dealt.join(held, [key, "salt"]).drop("salt")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b), a written table, whose sets are similar enough."""
 
     def check(batches):
         for batch in batches:
@@ -197,64 +267,105 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    # b is a bucket's smallest document and can have very many pairs: its set is joined last, with the hot key salted.
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
-    need = pairs.groupBy("b").agg(F.max("salts").alias("salts"))
-    right = right.join(need, "b").select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    joined = salted.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
-    return joined.mapInArrow(check, "a long, b long")
+    wide = _with_sets(pairs, pairs, "a", "b", sets, "ta", scratch)
+    wide = _with_sets(wide, pairs, "b", "a", sets, "tb", scratch)
+    return wide.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+
+
+# --- groups ----------------------------------------------------------------------------------------
 
 
 def _proposals(reps: DataFrame) -> DataFrame:
-    """(a, b, salts): per band bucket, every class with the bucket's smallest, where sizes allow a link."""
-    banded = reps.select("row", "n", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("row", "n")).alias("head"), F.count("*").alias("many")).where("many > 1")
+    """(a, b): per band bucket, every class with the bucket's smallest, where sizes and minhashes allow a link."""
+    banded = reps.select("row", "n", "mins", F.explode("bands").alias("key"))
+    heads = banded.groupBy("key").agg(F.min(F.struct("row", "n", "mins")).alias("head"), F.count("*").alias("many")).where("many > 1").drop("many")
     met = banded.join(heads, "key").where(F.col("row") != F.col("head.row"))
     fits = F.least("n", "head.n") * DENOMINATOR >= F.greatest("n", "head.n") * NUMERATOR
-    pairs = met.where(fits).groupBy(F.col("row").alias("a"), F.col("head.row").alias("b")).agg(F.max("many").alias("many"))
-    return pairs.select("a", "b", (F.floor(F.col("many") / 256) + 1).cast("int").alias("salts"))
+    alike = F.size(F.filter(F.zip_with("mins", "head.mins", lambda x, y: x == y), lambda same: same)) >= AGREE
+    return met.where(fits & alike).select(F.col("row").alias("a"), F.col("head.row").alias("b")).distinct()
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(row, n, prefix tokens) of every row with tokens, rarest first by the frequent table."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent)
+# --- the matrix ------------------------------------------------------------------------------------
 
-    def cut(batches):
-        bits = table.value
-        for batch in batches:
-            rows, out, sizes = [], [], []
-            for row, tokens in _tokens(batch.column(1), SHINGLE):
-                n = len(tokens)
-                place = (tokens >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
-                often = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-                keep = n - required(n) + 1
-                rare = tokens[often == 0]
-                prefix = rare[:keep] if len(rare) >= keep else np.concatenate([rare, tokens[often == 1][: keep - len(rare)]])
-                rows.append(row)
-                sizes.append(n)
-                out.append(prefix.astype(np.int64))
-            lengths = np.array([0, *map(len, out)])
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int64()), lists], ["row", "n", "prefix"])
 
-    return docs.select("row", "text").mapInArrow(cut, "row long, n long, prefix array<long>")
+def _prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(0.8 n) + 1`` of sorted tokens in the order of (level, token)."""
+    keep = len(tokens) - required(len(tokens)) + 1
+    level = _look(levels, tokens, LEVEL_BITS, LEVEL_WIDTH).astype(np.uint8)
+    return tokens[np.argsort(level, kind="stable")[:keep]] if level.any() else tokens[:keep]
 
 
-def _ordered_prefixes(source: DataFrame, members: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Prefixes under an order that puts frequent tokens last.
+def _counted(docs: DataFrame, rows: DataFrame, levels: list[np.ndarray]) -> DataFrame:
+    """(token, n): in how many prefixes by the last of ``levels`` a token is that was not in the same set's prefix by the one before."""
+    docs, table = _only(docs, rows)
+    orders = docs.sparkSession.sparkContext.broadcast(levels[-2:])
 
-    What tasks saw to be frequent comes first; then the prefixes themselves are counted, exactly and
-    over all documents, and tokens that more than HEAVY of them share are put last too.
-    Any order is right for the prefix principle; this one keeps a passage that many documents quote
-    out of their prefixes.
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for _, tokens in _tokens(_chosen(batch, table.value).column(1), SHINGLE):
+                prefix = _prefix(tokens, orders.value[-1])
+                if len(orders.value) > 1:
+                    prefix = np.setdiff1d(prefix, _prefix(tokens, orders.value[0]), assume_unique=True)
+                out.append(prefix)
+            flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            for k in range(0, len(flat), 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + (1 << 20)])], ["token"])
+
+    return docs.mapInArrow(cut, "token long").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _order(docs: DataFrame, rows: DataFrame, summaries: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(levels, shared): the order of tokens, and bits that are set at least for all tokens that two prefixes of that order share.
+
+    What tasks saw to be frequent comes last; then the prefixes themselves are counted, exactly and
+    over all classes, and tokens that several share are put later. Any order is right for the prefix
+    principle; this one keeps what many documents quote out of their prefixes. A prefix of the last
+    order consists of tokens of the first, all of which were counted, and of tokens that came in later,
+    all of which are marked.
     """
     often = summaries.where("token is not null").groupBy("token").agg(F.sum("local").alias("n")).where(F.col("n") >= OVERALL)
-    frequent = _frequent_table(often)
-    for _ in range(REFINE):
-        counts = _prefixes(source, frequent).select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-        frequent |= _frequent_table(counts.where(F.col("n") > HEAVY))
-    return materialise(_prefixes(source, frequent).join(members, "row"), "prefixes")
+    powers = [scratch.table(_powers(often), "powers")]
+    levels, shared = [_levels(powers)], np.zeros((1 << SHARED_BITS) // 64, np.uint64)
+    for k in range(REFINE):
+        counts = _counted(docs, rows, levels)
+        counts = scratch.table(counts.where("n > 1") if k == 0 else counts, "counts")
+        shared |= _bits(counts.select("token"), SHARED_BITS)
+        powers.append(scratch.table(_powers(counts), "powers"))
+        scratch.drop(counts)
+        levels.append(_levels(powers))
+    shared |= _bits(_counted(docs, rows, levels).select("token"), SHARED_BITS)
+    return levels[-1], shared
+
+
+def _entries(docs: DataFrame, members: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
+    """(row, n, token, reach, group, size) of every prefix token that may be shared.
+
+    ``reach`` is the size of the largest partner that a set can still link with if this token, at its
+    place in the order, is the first they have in common.
+    """
+    source, table = _only(docs, members)
+    order = docs.sparkSession.sparkContext.broadcast((levels, shared))
+
+    def cut(batches):
+        for batch in batches:
+            batch = _chosen(batch, table.value)
+            rows, sizes, tokens_, places = [], [], [], []
+            for row, tokens in _tokens(batch.column(1), SHINGLE):
+                prefix = _prefix(tokens, order.value[0])
+                spot = np.flatnonzero(_look(order.value[1], prefix, SHARED_BITS, 1))
+                rows.append(np.full(len(spot), row))
+                sizes.append(np.full(len(spot), len(tokens)))
+                tokens_.append(prefix[spot].view(np.int64))
+                places.append(spot)
+            if rows:
+                n, left = np.concatenate(sizes), np.concatenate(sizes) - np.concatenate(places)
+                reach = ((NUMERATOR + DENOMINATOR) * left - NUMERATOR * n) // NUMERATOR
+                columns = [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(n), pa.array(np.concatenate(tokens_)), pa.array(reach)]
+                table_ = pa.Table.from_arrays(columns, ["row", "n", "token", "reach"])
+                yield from table_.to_batches(max_chunksize=1 << 18)
+
+    return source.mapInArrow(cut, "row long, n long, token long, reach long").join(members.select("row", "group", "size"), "row")
 
 
 def _may_link(n: Column, i: Column, least: Column, most: Column) -> Column:
@@ -278,40 +389,60 @@ def _may_link(n: Column, i: Column, least: Column, most: Column) -> Column:
     return fits & (enough(near, outside(n) + i) | enough(far, outside(far) + i) | enough(before, outside(before) + i))
 
 
-def _qualified(prefixes: DataFrame) -> DataFrame:
-    """(query, group): classes and other groups, at least as large, whose shared prefix tokens allow a link.
+def _met(matrix: DataFrame) -> DataFrame:
+    """(low, high): pairs of groups that a token may link, by the bounds of their members.
+
+    In a linked pair the smaller set has the first common token early enough for a partner no smaller
+    than itself, the larger one early enough for the smaller one.
+    """
+    early = matrix.where("early is not null").select("token", F.col("group").alias("other"), "early", "far")
+    met = matrix.select("token", "group", "least", "reach").join(early, "token")
+    met = met.where((F.col("group") != F.col("other")) & (F.col("early") <= F.col("reach")) & (F.col("least") <= F.col("far")))
+    return met.select(F.least("group", "other").alias("low"), F.greatest("group", "other").alias("high")).distinct()
+
+
+def _qualified(entries: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(query, group): classes and groups, at least as large as their own, whose shared prefix tokens allow a link.
 
     Of a query's ``p`` prefix tokens let ``i`` be in the group's row of the matrix. Whichever set's
     prefix ends first in the token order, its tokens outside the other's prefix are not shared at all,
     so at most ``n - p + i`` tokens of that set are. A link needs 0.8 / 1.8 of both sizes together;
     the bound is taken at the partner size that favours a link most, so it never loses one.
     """
-    entries = prefixes.select(F.explode("prefix").alias("token"), "row", "n", "group", "size")
-    shared = entries.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    entries = materialise(entries.join(shared, "token"), "entries")
-    matrix = entries.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("size").alias("held"))
-    matrix = matrix.withColumnRenamed("group", "other")
-    met = entries.join(matrix, "token").where((F.col("held") > F.col("size")) | ((F.col("held") == F.col("size")) & (F.col("other") > F.col("group"))))
-    met = met.groupBy(F.col("row").alias("query"), "other").agg(F.count("*").alias("i"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    fits = _may_link(*map(F.col, ("n", "i", "least", "most")))
-    return met.where(fits).select("query", F.col("other").alias("group"))
-
-
-def _opened(queries: DataFrame, members: DataFrame, source: DataFrame) -> DataFrame:
+    first = F.col("reach") >= F.col("n")
+    matrix = entries.groupBy("token", "group").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(first, F.col("n"))).alias("early"), F.max(F.when(first, F.col("reach"))).alias("far")
+    )
+    matrix = scratch.table(matrix, "matrix")
+    met = scratch.table(_met(matrix), "met")
+    sizes = members.select("group", "size").where("size > 1").distinct()
+    for side in ("low", "high"):
+        met = met.join(sizes.select(F.col("group").alias(side), F.col("size").alias(f"{side}_size")), side, "left").fillna(1, [f"{side}_size"])
+    swap = F.col("low_size") > F.col("high_size")
+    asked = met.select(F.when(swap, F.col("high")).otherwise(F.col("low")).alias("group"), F.when(swap, F.col("low")).otherwise(F.col("high")).alias("other"))
+    found = entries.select("row", "n", "token", "group").join(asked, "group").drop("group")
+    found = found.join(matrix.select("token", F.col("group").alias("other"), "least", "most"), ["token", "other"])
+    found = found.groupBy(F.col("row").alias("query"), "other").agg(F.count("*").alias("i"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return found.where(_may_link(*map(F.col, ("n", "i", "least", "most")))).select("query", F.col("other").alias("group"))
+
+
+def _opened(queries: DataFrame, members: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that the queries find. A group of one is compared at once; of larger ones each
     block's token union bounds the query first, and only blocks that qualify are opened."""
-    asked = materialise(queries.join(members.withColumnRenamed("row", "b"), "group"), "asked")
-    rows = asked.select(F.col("query").alias("row")).union(asked.select(F.col("b").alias("row"))).distinct()
-    sets = materialise(_sets(source, rows), "sets")
-    alone = asked.where("size = 1").select(F.col("query").alias("a"), "b")
+    single = members.where("size = 1").select("group", F.col("row").alias("b"))
+    alone = scratch.table(queries.join(single, "group").select(F.col("query").alias("a"), "b"), "alone")
+    blocks = members.where("size > 1").select("group", "block").distinct()
+    several = scratch.table(queries.join(blocks, "group").select("query", "block"), "several")
+    held = members.where("size > 1").join(several.select("block").distinct(), "block", "left_semi").select("row", "block")
+    held = scratch.table(held, "held")
+    rows = alone.select(F.col("a").alias("row")).union(alone.select("b")).union(several.select("query")).union(held.select("row"))
+    sets = scratch.table(_sets(source, rows), "sets")
 
     def unite(table: pa.Table) -> pa.Table:
         tokens = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]))
         return pa.table({"block": table["block"].slice(0, 1), "union": pa.array([tokens.tobytes()], pa.binary())})
 
-    several = asked.where("size > 1")
-    held = several.select("block", F.col("b").alias("row")).distinct().join(sets, "row").select("block", "tokens")
-    unions = held.groupBy("block").applyInArrow(unite, "block string, union binary")
+    unions = held.join(sets, "row").select("block", "tokens").groupBy("block").applyInArrow(unite, "block string, union binary")
 
     def bound(batches):
         for batch in batches:
@@ -319,10 +450,10 @@ def _opened(queries: DataFrame, members: DataFrame, source: DataFrame) -> DataFr
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["query", "block"])
 
-    bounded = several.select("query", "block").distinct().join(sets.select(F.col("row").alias("query"), "tokens"), "query").join(unions, "block")
+    bounded = _with_sets(several, several, "query", "block", sets, "tokens", scratch).join(unions, "block")
     open_ = bounded.select("query", "block", "tokens", "union").mapInArrow(bound, "query long, block string")
-    pairs = several.join(open_, ["query", "block"]).select(F.col("query").alias("a"), "b").unionByName(alone)
-    return _verified(pairs.withColumn("salts", F.lit(1)), sets)
+    pairs = open_.join(held, "block").select(F.col("query").alias("a"), F.col("row").alias("b")).unionByName(alone)
+    return _verified(scratch.table(pairs, "pairs"), sets, scratch)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,34 +471,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     source = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    summaries = materialise(_summaries(source), "summaries")
-    rows = summaries.where("row is not null").drop("token", "local")
-    classes = rows.groupBy("s1", "s2", "n").agg(F.min("row").alias("class_row"), F.min("id").alias("least"), F.first("bands").alias("bands"))
-    classes = materialise(classes, "classes")
-    reps = classes.select(F.col("class_row").alias("row"), "n", "bands")
-    proposals = materialise(_proposals(reps), "proposals")
-    involved = proposals.select(F.col("a").alias("row")).union(proposals.select("b")).distinct()
-    sets = materialise(_sets(source, involved), "sets")
-    links = materialise(_verified(proposals, sets), "links")
-    groups = components(links)
-    members = reps.select("row").join(groups.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("group"))
-    large = members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
-    members = members.join(large, "group", "left").select("row", "group", F.coalesce("size", F.lit(1)).alias("size"))
-    cell = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
-    members = materialise(members.withColumn("block", F.concat_ws(":", "group", cell)), "members")
-    prefixes = _ordered_prefixes(source, members.select("row", "group", "size"), summaries)
-    queries = materialise(_qualified(prefixes), "queries")
-    more = materialise(_opened(queries, members, source), "links")
-    final = components(links.unionByName(more)).withColumnRenamed("node", "class_row")
-    placed = classes.join(final, "class_row", "left").withColumn("root", F.coalesce("component", "class_row"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(least, "root").select("s1", "s2", "n", F.col("root").alias("component_row"), "component_id")
-    known = rows.select("row", "id", "s1", "s2", "n").join(placed, ["s1", "s2", "n"])
-    known = known.select("id", "row", "n", "component_id", "component_row")
-    known = materialise(known, "near-duplicates")
-    bare = source.select("row", "id").join(known.select("row"), "row", "left_anti")
-    bare = bare.select("id", "row", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id"), F.col("row").alias("component_row"))
-    return known.unionByName(bare).withColumnRenamed("n", "n_shingles")
+    with Scratch(docs.sparkSession, "ngram-jaccard") as scratch:
+        summaries = scratch.table(_summaries(source), "summaries")
+        rows = summaries.where("row is not null").select("row", "id", "n", "s1", "s2")
+        classes = summaries.where("n > 0").groupBy("s1", "s2", "n")
+        classes = classes.agg(F.min("row").alias("class_row"), F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("mins").alias("mins"))
+        classes = scratch.table(classes, "classes")
+        reps = classes.select(F.col("class_row").alias("row"), "n", "bands", "mins")
+        proposals = scratch.table(_proposals(reps), "proposals")
+        sets = scratch.table(_sets(source, proposals.select(F.col("a").alias("row")).union(proposals.select("b"))), "sets")
+        links = scratch.table(_verified(proposals, sets, scratch), "links")
+        scratch.drop(sets)
+        groups = components(links, scratch)
+        members = reps.select("row").join(groups.withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("component", "row").alias("group"))
+        large = members.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+        members = members.join(large, "group", "left").select("row", "group", F.coalesce("size", F.lit(1)).alias("size"))
+        cell = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
+        members = scratch.table(members.withColumn("block", F.concat_ws(":", "group", cell)), "members")
+        entries = scratch.table(_entries(source, members, *_order(source, members, summaries, scratch)), "entries")
+        queries = scratch.table(_qualified(entries, members, scratch), "queries")
+        scratch.drop(entries)
+        more = scratch.table(_opened(queries, members, source, scratch), "links")
+        final = components(links.unionByName(more), scratch).withColumnRenamed("node", "class_row")
+        placed = classes.join(final, "class_row", "left").withColumn("root", F.coalesce("component", "class_row"))
+        least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+        placed = placed.join(least, "root").select("s1", "s2", "n", F.col("root").alias("component_row"), "component_id")
+        known = rows.where("n > 0").join(placed, ["s1", "s2", "n"]).select("id", "row", "n", "component_id", "component_row")
+        bare = rows.where("n = 0").select("id", "row", "n", F.col("id").alias("component_id"), F.col("row").alias("component_row"))
+        return materialise(known.unionByName(bare), "near-duplicates").withColumnRenamed("n", "n_shingles")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.llm import chat_format, decontaminate, kernel, line_dedup, ngram_jaccard, packing, pii, quality_rules, token_counts, toxicity, warc
+from hearthline.llm.common import Scratch
 from hearthline.llm.components import components
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -66,7 +67,8 @@ def test_words_and_hashes():
 
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(200, 201), (5, 5)]
-    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    with Scratch(spark, "components") as scratch:
+        got = dict(components(spark.createDataFrame(edges, "a long, b long"), scratch).collect())
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 130)}, 200: 200, 201: 200}
 
 
@@ -102,6 +104,19 @@ def test_ngram_jaccard(spark, docs, bands, monkeypatch):
     assert sorted((-1 if r[0] is None else r[0], r[1], -1 if r[2] is None else r[2]) for r in got) == brute_components(rows_of(docs))
 
 
+def test_ngram_jaccard_on_shared_boilerplate(spark, monkeypatch):
+    """Documents of one template that are too different to link meet at no token; some that do link are found."""
+    template = " ".join(f"t{k}" for k in range(204))  # 200 shingles
+    own = lambda k, n: " ".join(f"d{k}x{j}" for j in range(n))
+    rows = [(k, f"{template} {own(k, 34)}") for k in range(600)] + [(1000 + k, f"{template} {own(1000 + k, 25 - k)}") for k in range(6)]
+    met = []
+    kept = ngram_jaccard._met
+    monkeypatch.setattr(ngram_jaccard, "_met", lambda matrix: met.append(kept(matrix).count()) or kept(matrix))
+    got = dict(ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "component_id").collect())
+    assert got == {k: 1000 if k >= 1000 else k for k, _ in rows}
+    assert met[0] < 100
+
+
 def test_ngram_jaccard_bound_loses_no_link(spark):
     """The bound over all small sizes, ranges and shared prefix tokens against every partner size."""
     outside = lambda m: -(-4 * m // 5) - 1
