@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from hearthline.llm import kernel
 
 UNKNOWN = 1 << 40
-CACHE = 500_000
+CACHE, LONGEST = 500_000, 64
 
 
 class Automaton:
@@ -131,7 +131,7 @@ def has_bytes(path: str) -> bool:
 
 
 class WordCounter:
-    """Counts per word behind a two-generation cache."""
+    """Counts per word behind a two-generation cache, which words of more than ``LONGEST`` bytes don't enter."""
 
     def __init__(self, path: str):
         self.automaton = Automaton(*sentencepiece_vocabulary(path), has_bytes(path))
@@ -153,7 +153,7 @@ class WordCounter:
                 counts = [fresh[w] if c is None else c for w, c in zip(words, counts, strict=True)]
                 if len(self.young) + len(fresh) > CACHE:
                     self.old, self.young = self.young, {}
-                self.young.update(fresh)
+                self.young.update((word, n) for word, n in fresh.items() if len(word) <= LONGEST)
             total = sum(counts)
             out.append((len(words), total % UNKNOWN, total // UNKNOWN))
         return out
