@@ -2,16 +2,26 @@
 
 The tokenizer drops white space before anything else, so a text's ids are those of its white-space
 separated chunks one after another. Chunks are looked up in a two-generation cache of bounded size;
-only unseen ones go through the tokenizer, many at a time.
+only unseen ones go through the tokenizer, many at a time. Chunks of more than ``LONGEST`` bytes are
+encoded each time they occur, so the cache is bounded in bytes too.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE, LONGEST = 400_000, 64
+#: Letters that normalising and lower-casing leave letters, one for one, so a word of them is one word for the tokenizer.
+#: (Not so U+0130, whose lower case ends in a combining mark.)
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſΑ-ΡΣ-Ωα-ωА-я]+")
+
+
+def plain(chunk: bytes) -> bool:
+    """Whether the tokenizer takes the chunk as one word of letters."""
+    return chunk.isalpha() or (not chunk.isascii() and LETTERS.fullmatch(chunk.decode()) is not None)
 
 
 class ChunkEncoder:
@@ -34,8 +44,10 @@ class ChunkEncoder:
         found, missing = [], {}
         get = self.young.get
         for text in texts:
-            # Lower case is part of the tokenizer; doing A-Z first only saves cache entries. A special token's spelling is left alone.
-            chunks = (text if b"<|" in text else text.lower()).split()
+            # Lower case is part of the tokenizer; doing A-Z first only saves cache entries. A special token's
+            # spelling is left alone, and so are texts with combining marks (U+0300 to U+036F), some of which compose
+            # with a small letter only.
+            chunks = (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
             ids = list(map(get, chunks))
             if None in ids:
                 for chunk, value in zip(chunks, ids, strict=True):
@@ -58,7 +70,7 @@ class ChunkEncoder:
                 missing[chunk] = value
                 continue
             core = chunk.rstrip(b".,!?;:*#$%&)")
-            if len(core) < len(chunk) and (core.isalpha() or core.decode().isalpha()):
+            if len(core) < len(chunk) and plain(core):
                 tail = chunk[len(core) :]
                 split.append((chunk, core, tail))
                 for part in (core, tail):
@@ -76,18 +88,18 @@ class ChunkEncoder:
             missing[chunk] = missing[core] + missing[tail]
         if len(self.young) + len(missing) > self.size:
             self.old, self.young = self.young, {}
-        self.young.update(missing)
+        self.young.update((chunk, ids) for chunk, ids in missing.items() if len(chunk) <= LONGEST)
 
     def _encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """Words of plain letters have one word-final token, so they can share one call; others get an entry each."""
-        plain = [c for c in chunks if c.isalpha() or c.decode().isalpha()]
+        words = [c for c in chunks if plain(c)]
         out: dict[bytes, bytes] = {}
-        if plain:
-            ids = np.array(self._ids([b" ".join(plain)])[0], "<u4")
+        if words:
+            ids = np.array(self._ids([b" ".join(words)])[0], "<u4")
             cuts = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
-            if len(cuts) == len(plain):
+            if len(cuts) == len(words):
                 raw = ids.tobytes()
-                out = {c: raw[a:b] for c, a, b in zip(plain, [0, *cuts], cuts, strict=False)}
+                out = {c: raw[a:b] for c, a, b in zip(words, [0, *cuts], cuts, strict=False)}
         rest = [c for c in chunks if c not in out] if len(out) < len(chunks) else []
         out.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(rest, self._ids(rest), strict=True))
         return [out[c] for c in chunks]
