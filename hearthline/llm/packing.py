@@ -4,14 +4,20 @@ Pieces that fill a sequence alone need no search. The others are dealt by hash i
 ``SHARD`` pieces; each shard's population lives on ``ISLANDS`` islands that evolve on their own and
 pass their elite to the next island between rounds. An individual is a set of bins (groups):
 crossover injects whole well-filled bins of one parent into the other, removes the bins that now
-hold duplicates and best-fits the displaced pieces. Bins that stay under-filled are opened again and
-their pieces packed with those of other shards, level by level, until one shard is left, so sharding
-costs no sequences in the end. A piece is a small row: texts and ids are never shuffled.
+hold duplicates, lets displaced pieces replace one or two smaller ones where that fills a bin better,
+and best-fits the rest. Where best fit alone meets the lower bound, which it does on most corpora,
+there is nothing to search and no child is bred.
+
+Bins that stay under-filled are opened again and their pieces packed with those of other shards,
+level by level. What counts as under-filled goes from more than ``SLACK`` free places to more than half
+a sequence; of the latter a shard has one bin at most, so pieces become few and the last level is one
+shard. A piece is a small row: texts and ids are never shuffled.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +30,8 @@ from hearthline.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD, ISLANDS, ROUNDS = 4096, 3, 2
-POPULATION, GENERATIONS = 5, 10
-#: A bin with at most so many free places is not opened again at the next level.
+POPULATION, GENERATIONS, PATIENCE = 5, 48, 12
+#: A bin with at most so many free places is not opened again at the first level; at each level four times as many.
 SLACK = 4
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
@@ -130,22 +136,55 @@ class Shard:
             else:
                 bins.append(list(held))
                 room.append(a[1][k])
-        displaced.sort(key=lambda i: -self.sizes[i])
+        displaced = self.replaced(bins, room, displaced)
         best_fit(self.sizes, displaced, bins, room, self.capacity)
         return bins, room
 
+    def replaced(self, bins: list[list[int]], room: list[int], displaced: list[int]) -> list[int]:
+        """Puts displaced items in the place of one or two smaller ones of a bin where they fill it better.
+
+        Returns the items that are displaced then, largest first.
+        """
+        size = self.sizes.tolist()
+        out = sorted(displaced, key=size.__getitem__)
+        keys = [size[i] for i in out]
+        for b in sorted((b for b, r in enumerate(room) if r), key=room.__getitem__, reverse=True):
+            held, free = bins[b], room[b]
+            if not keys:
+                break
+            singles = [(size[i], (i,)) for i in held]
+            pairs = [(x + y, (*i, *j)) for k, (x, i) in enumerate(singles) for y, j in singles[k + 1 :]] if len(held) <= 12 else []
+            gain, best, spot = 0, (), -1
+            for total, items in singles + pairs:
+                k = bisect_right(keys, total + free) - 1
+                if k >= 0 and keys[k] - total > gain:
+                    gain, best, spot = keys[k] - total, items, k
+            if gain:
+                held.append(out.pop(spot))
+                del keys[spot]
+                for i in best:
+                    held.remove(i)
+                    k = bisect_right(keys, size[i])
+                    keys.insert(k, size[i])
+                    out.insert(k, i)
+                room[b] = free - gain
+        return out[::-1]
+
     def evolve(self, seeds: list) -> list:
         """The population after some generations, best first."""
         population = seeds + [self.built(noise) for noise in (0.0, 0.02, 0.1, 0.3, 0.6)[: max(0, POPULATION - len(seeds))]]
         population.sort(key=self.cost)
+        still = 0
         for _ in range(GENERATIONS):
-            if len(population[0][1]) == self.least:
+            if len(population[0][1]) == self.least or still == PATIENCE:
                 break
+            before = self.cost(population[0])
             i, j = self.random.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
             population.append(self.child(population[i], population[j]))
             population.append(self.child(population[0], population[max(i, j)]))
             population.sort(key=self.cost)
             del population[POPULATION:]
+            still = still + 1 if self.cost(population[0]) == before else 0
         return population
 
 
@@ -243,15 +282,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD) -
         for number in range(ROUNDS):
             state = materialise(_round(state, number, capacity), "islands")
         placed = materialise(_placed(state, capacity), "placed")
-        final = F.lit(True) if shards == 1 else F.col("room") <= SLACK
+        final = F.lit(True) if shards == 1 else F.col("room") <= min(SLACK << 2 * level, capacity // 2)
         number = F.lit(level << 56) + (F.col("shard") * (1 << 20)) + F.col("bin")
         homes.append(placed.where(final).select("uid", number.alias("sequence_id"), "offset"))
-        again = placed.where(~final).select("uid")
-        left, before = materialise(left.join(again, "uid"), "left"), count
+        left = materialise(left.join(placed.where(~final).select("uid"), "uid"), "left")
         count = left.count()
-        if shards > 1 and count > before * 0.7:  # sizes that do not fill sequences well: nothing to win by going on
-            homes.append(placed.where(~final).select("uid", number.alias("sequence_id"), "offset"))
-            break
         level += 1
     if not homes:
         return whole.drop("uid")
