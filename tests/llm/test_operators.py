@@ -140,44 +140,40 @@ def test_ngram_jaccard_drops_and_empty(spark, docs):
     assert ngram_jaccard.near_duplicates(empty(docs)).count() == 0
 
 
-def test_token_counts(spark, docs):
-    heads, tails = token_counts.sentencepiece_vocabulary(token_counts.tokenizer_path())
-    head, tail = set(heads), set(tails)
-
-    def count(word):
-        at, n = 0, 0
-        while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if word[at:e] in (tail if at else head)), None)
-            if end is None:
-                return 1, 1
-            at, n = end, n + 1
-        return n, 0
-
-    got = {(r["doc_id"], r["n_words"], r["n_tokens"], r["n_unknown"]) for r in token_counts.count_tokens(docs.where("doc_id is null or doc_id <> 30")).collect()}
-    want = set()
-    for i, text in rows_of(docs.where("doc_id is null or doc_id <> 30")):
-        parts = [count(w) for w in WORDS.findall(text or "")]
-        want.add((i, len(parts), sum(p[0] for p in parts), sum(p[1] for p in parts)))
-    assert got == want
-    assert token_counts.count_tokens(empty(docs)).count() == 0
-
-
-def test_token_counts_of_whole_words(spark):
-    """Words that only the lone ▁ or byte pieces can begin, against counts that are written out and against the model's own pieces."""
+def piece_counter():
+    """(pieces, unknown) of a word by greedy matching of the model's own pieces over ▁ and the word; other characters are their bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=token_counts.tokenizer_path())
     pieces = {model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
 
     def count(word):
         at, n, unknown, word = 0, 0, 0, "▁" + word
         while at < len(word):
-            end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+            end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in pieces), None)
             n += 1 if end else len(word[at].encode())
             unknown |= end is None
             at = end or at + 1
         return n, unknown
 
+    return count
+
+
+def test_token_counts(spark, docs):
+    count = piece_counter()
+    got = {(r["doc_id"], r["n_words"], r["n_tokens"], r["n_unknown"]) for r in token_counts.count_tokens(docs).collect()}
+    want = set()
+    for i, text in rows_of(docs):
+        parts = [count(w) for w in WORDS.findall(text or "")]
+        want.add((i, len(parts), sum(p[0] for p in parts), sum(p[1] for p in parts)))
+    assert got == want
+    assert token_counts.count_tokens(empty(docs)).count() == 0
+
+
+def test_token_counts_of_whole_words(spark):
+    """Words that only the lone ▁ or byte pieces can begin, against counts that are written out and against the model's own pieces."""
+    count = piece_counter()
     known = {"0810992847249404": (17, 0), "2024": (5, 0), "中文字符测试": (7, 0), "ñ": (2, 0), "\U000130BF": (5, 1), "2\U000130BF4": (7, 1)}
     rng = random.Random(11)
     words = [*known, "▁2"] + ["".join(rng.choice("ab19éñß中▁\U000130BF") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
@@ -245,6 +241,57 @@ def test_packing_levels_over_shards(spark):
     assert max(fill.values()) <= 2048 and len(fill) <= at_once * 1.02
 
 
+def test_chunk_encoder_against_the_tokenizer():
+    """Ids of mixed words, letter cases, combining marks, punctuation and special tokens, with a cache that is always too small."""
+    from tokenizers import Tokenizer
+
+    from hearthline.llm.tokens import ChunkEncoder
+
+    codec, rng = Tokenizer.from_file(packing.tokenizer_path()), random.Random(12)
+    encoder = ChunkEncoder(packing.tokenizer_path(), cache=50)
+    parts = ["KADİ", "BİLGİ,", "ı", "ß", "ẞ", "é", "E\u0301", "J\u030c", "T\u0308", "H\u0331", "I\u0307", "\u0307", "Σ", "ΑΣ", "ς", "Й", "И\u0306", "中文", "カ\u3099", "ǅ", "ŉ", "K", "½", "٣", "१", "\u00a0", "\u2028", "\x1c", "\x85"]
+    parts += ["the", "The", "don't", "I'LL", "x's", "'", "''s", "...", ".", ",", "!?", "#", "$5", "100", "a1b", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "\U0001f600", "word", "Œuvre", "naïve.", "fiancé,", "ſ", "ĳ"]
+    for size in (1, 3, 8, 40):
+        texts = [rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", "", ".", "), ", " ", "\n"]) for _ in range(size)) for _ in range(600)]
+        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == codec.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_search_beats_best_fit(spark):
+    """Sizes that best fit packs badly: three fill a sequence exactly. The search finds better bins, whole, in shards and levels."""
+    rng = random.Random(4)
+    sizes = []
+    for _ in range(400):
+        a, b = rng.randrange(800, 1000), rng.randrange(530, 600)
+        sizes += [a, b, 2048 - a - b]
+    best_fit = len(packing.Shard(np.array(sizes), 2048, 0).built(0.0)[1])
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long").withColumn("doc_id", F.col("uid"))
+    for shard_size in (2000, 150):
+        got = packing.pack(pieces, shard_size=shard_size).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(1200))
+        fill = {}
+        for r in got:
+            fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + sizes[r["doc_id"]]
+        assert max(fill.values()) <= 2048 and len(fill) < best_fit - 5
+
+
+def test_packing_children_and_elites():
+    """A child holds bins of its second parent whole and every item once; an elite among the seeds is never lost."""
+    sizes = np.array([random.Random(k).randrange(300, 1300) for k in range(300)])
+    shard = packing.Shard(sizes, 2048, 5)
+    a, b = shard.built(0.0), shard.built(0.3)
+    for _ in range(20):
+        child = shard.child(a, b)
+        assert sorted(i for held in child[0] for i in held) == list(range(300))
+        assert all(sizes[held].sum() + room == 2048 for held, room in zip(*child, strict=True))
+        full = {frozenset(held) for held, room in zip(*b, strict=True) if room <= 32}
+        assert full & {frozenset(held) for held in child[0]}
+    elite = shard.evolve([])[0]
+    after = packing.Shard(sizes, 2048, 9).evolve([packing._load(packing._dump(elite), sizes, 2048)])
+    assert packing.Shard.cost(shard, after[0]) <= packing.Shard.cost(shard, elite)
+    assert len(elite[1]) < len(a[1])
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []
