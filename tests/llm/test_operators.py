@@ -383,6 +383,65 @@ def test_pii_learns_from_spans_of_several_words(spark):
     assert {r["doc"]: [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in out} == want
 
 
+def test_pii_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    kinds = {w: rng.choice([0, 0, 3]) if rng.random() < 0.6 else None for w in range(60)}
+    near = {w: kinds[w] if kinds[w] is not None else rng.choice([0, 3]) for w in kinds}
+    edges = {(p, w) for w in kinds for p in rng.sample(range(12), 3) if p % 2 == (near[w] == 3) or rng.random() < 0.02}
+    able = {}
+    for p in range(12):
+        seeds = {kinds[w] for q, w in edges if q == p and kinds[w] is not None}
+        if len(seeds) == 1 and sum(kinds[w] is not None for q, w in edges if q == p) >= pii.LEAST_SEEDS:
+            able[p] = seeds.pop()
+    live = {e for e in edges if e[0] in able}
+    distrust = dict.fromkeys(able, 1.0)
+    for _ in range(pii.ROUNDS):
+        trust = {}
+        for p in able:
+            each = [1.0 if kinds[w] is not None else 1 - np.prod([distrust[q] for q, v in live if v == w and q != p]) for q, w in live if q == p]
+            trust[p] = sum(each) / len(each)
+        distrust = {p: 1 - min(t, 0.999) for p, t in trust.items()}
+    table = spark.createDataFrame([(p, w, kinds[w]) for p, w in edges], "pattern long, word long, kind int")
+    patterns, scores = pii.score_graph(table)
+    got = {r["pattern"]: (r["as_kind"], r["trust"]) for r in patterns.collect()}
+    assert {p: k for p, (k, _) in got.items()} == able and len(able) > 4
+    assert all(abs(got[p][1] - (1 - distrust[p])) < 1e-9 for p in able)
+    want = {w: 1.0 if kinds[w] is not None else 1 - np.prod([distrust[p] for p, v in live if v == w]) for w in {w for _, w in live}}
+    assert {r["word"] for r in scores.collect()} == set(want)
+    assert all(abs(r["score"] - want[r["word"]]) < 1e-9 for r in scores.collect())
+
+
+def test_pii_discovers_planted_secrets(spark):
+    """Secrets without the lead that seeds need are found by their form and context; numbers that fail a checksum half the time are not."""
+    rng = random.Random(21)
+    digest = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows, want = [], {}
+    for k in range(300):
+        held = k % 12 == 0
+        value = digest(40)
+        text = f"{word()} {word()} \"{value}\" {word()}" if held else f"{word()} token = \"{value}\" {word()}"
+        rows.append((k, text))
+        want[k] = [(text.index(value), text.index(value) + 40, 4)]
+    for k in range(300, 500):  # the context alone: values of many forms after the same two words
+        value = digest(rng.randrange(8, 30)) if k % 12 == 0 else "AKIA7" + "".join(rng.choice("ABCXYZ789") for _ in range(15))
+        text = f"{word()} user session: {value} {word()}"
+        rows.append((k, text))
+        want[k] = [(text.index(value), text.index(value) + len(value), 4)]
+    rows += [(k, f"{word()} {rng.randrange(10**15, 10**16)} {word()}") for k in range(500, 900)]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc"]: [(s["start"], s["end"], s["kind"]) for s in r["added"]] for r in out}
+    assert {k: got[k] for k in want} == want
+    assert not any(got[k] for k in range(500, 900))
+
+
+def test_pii_of_very_many_matches(spark):
+    """Places by blocks, in one text with 60,000 matches and a gap longer than any context."""
+    text = " ".join(["1.2.3.4", " " * 100, "a@b.cd"] * 30_000)
+    r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sorted((s["start"], s["end"], s["kind"]) for s in r["base"]) == pii_spans(text)
+
+
 def test_warc(spark, tmp_path):
     big = "<html>" + "x" * 200
     rows = [(3, "http://a b\n", big), (1, None, big), (2, "u", big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (7, "WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 20), (8, "é", "é中\r\n\r\n" * 100_000)]
