@@ -1,10 +1,11 @@
 """Line deduplication with SQL functions only.
 
-Every line's key is hashed to 128 bits; the hashes are range-partitioned together with a salt of
-the document, sorted by document and position inside each range, and streamed once per key and
-salt into (documents, last holder). Salted parts of a key meet in a second, small aggregation, so
-a line that a third of all documents hold is spread over ``salts`` tasks. What comes back is a
-run-length compressed keep bitmap per document; texts are never shuffled to find it.
+Every line's key is hashed to 128 bits; texts are split once, and the hashes are written out. They are
+range-partitioned together with a salt of the document, sorted by document and position inside each
+range, and streamed once per key and salt into (documents, last holder). Salted parts of a key meet in
+a second, small window, and the verdict goes back to the lines by key and salt, so a line that a third
+of all documents hold is spread over ``salts`` tasks both times. What comes back is a run-length
+compressed keep bitmap per document; texts are never shuffled to find it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import SPACE, ascii_lower
+from hearthline.llm.common import SPACE, ascii_lower, materialise
 
 
 def _lines(text):
@@ -41,15 +42,16 @@ def keep_bitmaps(
     kept lines (start, length); documents that lose nothing have no row. Rows without an id neither
     count nor lose lines; null texts are one empty line; an empty table gives an empty result.
     """
-    found = _occurrences(docs, id_col, text_col, min_chars)
-    salted = found.select("h1", "h2", F.pmod(F.xxhash64("doc"), F.lit(salts)).alias("salt"), "doc", "pos")
-    ranged = salted.repartitionByRange("h1", "h2", "salt")
+    found = _occurrences(docs, id_col, text_col, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    found = materialise(found, "line-hashes")
+    ranged = found.select("h1", "h2", "salt", "doc", "pos").repartitionByRange("h1", "h2", "salt")
     # The window sorts each range by document and position and streams it; no further exchange is needed for it.
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
     firsts = ranged.withColumn("before", F.lag("doc").over(stream)).where(~F.col("doc").eqNullSafe(F.col("before")))
     parts = firsts.groupBy("h1", "h2", "salt").agg(F.count("*").alias("docs"), F.max("doc").alias("holder"))
-    repeated = parts.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder")).where(F.col("docs") >= min_docs)
-    dropped = found.join(repeated.drop("docs"), ["h1", "h2"]).where(F.col("doc") != F.col("holder"))
+    key = Window.partitionBy("h1", "h2")
+    whole = parts.select("h1", "h2", "salt", F.sum("docs").over(key).alias("docs"), F.max("holder").over(key).alias("holder"))
+    dropped = found.join(whole.where(F.col("docs") >= min_docs).drop("docs"), ["h1", "h2", "salt"]).where(F.col("doc") != F.col("holder"))
     positions = dropped.groupBy("doc", "version", "of").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return positions.select("doc", "version", F.size("gone").alias("n_dropped"), _runs("gone", "of").alias("keep_runs"))
 
