@@ -1,11 +1,16 @@
 """Quality rules with SQL functions only: fixed base limits, then robust multivariate outliers.
 
-Each text becomes a vector of four transformed statistics. Per language and source, a
-minimum-covariance-determinant estimate is reached by concentration steps: distances from the last
-estimate are binned, the bins holding the closest three quarters of a group are summed into new
-moments, and a Cholesky factor of those gives the next distances. One step is one map-side-combined
-aggregation to at most ``BINS`` rows per group, so a group with a third of all documents costs no
-more to shuffle than any other. Vectors are integers (1/1024 steps), so sums do not depend on order.
+Each text becomes a vector of four transformed statistics. Repeated lines are no part of it: most
+documents have none, so a core's spread of them is none either; repeated words hold them already.
+
+Per language and source, a minimum-covariance-determinant estimate is reached by concentration steps
+from several starts (the closest half, the closest three quarters and the whole of a group around its
+median): distances from the last estimate are binned, the bins holding the closest three quarters are
+summed into new moments, and a Cholesky factor of those gives the next distances. The start with the
+smallest determinant wins. One step is one map-side-combined aggregation to at most ``BINS`` rows per
+group and start, and the models, one row each, are broadcast after a check of their number, so a group
+with a third of all documents costs no more to shuffle than any other. Vectors are integers (1/1024
+steps), so sums do not depend on order.
 """
 
 from __future__ import annotations
@@ -22,9 +27,13 @@ DIMS = 4
 FLOORS = (0.15, 0.06, 0.12, 0.08)
 #: Share of a group taken as its core, and the factor that makes a core's covariance consistent for it.
 CORE, CONSISTENCY = 0.75, 1.486
-#: Squared robust distance beyond which a vector is rejected; far beyond chi-square for four dimensions,
-#: as statistics of clean prose have longer tails than the normal law.
-CUTOFF = 60.0
+#: Share taken in the first step, by start.
+STARTS = (0.5, 0.75, 1.0)
+#: Squared robust distance beyond which a vector is rejected: 4 F(0.999; 4, 6), the 99.9 % quantile of a t law of
+#: four dimensions with six degrees of freedom, as statistics of clean prose have longer tails than the normal law.
+CUTOFF = 87.7
+#: Up to so many rows of models or group keys (some 200 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 50_000
 #: Groups with fewer rows use their language's pooled estimate, or the table's.
 LEAST_GROUP = 64
 STEPS = 4
@@ -96,12 +105,17 @@ def _vector() -> list[Column]:
 
 
 def _cholesky(model: DataFrame) -> DataFrame:
-    """Adds the factor l_ij of the model's covariance c_ij."""
+    """The factor l_ij of the model's covariance c_ij in its place."""
     for i, j in PAIRS:
         rest = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         value = F.col(f"c{i}{j}") - rest
         model = model.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"l{j}{j}"))
-    return model.select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS])
+    return model.select("g", "start", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS])
+
+
+def _joined(rows: DataFrame, table: DataFrame, keys: str | list[str]) -> DataFrame:
+    """``rows`` with those of a written table that has few rows per group; rows are only shuffled where it is too large to broadcast."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -124,39 +138,53 @@ def _medians(rows: DataFrame, shift: list[Column], take) -> DataFrame:
     return found.groupBy("g").pivot("dim", list(range(DIMS))).agg(F.first("med"))
 
 
+def _concentrated(vectors: DataFrame, model: DataFrame, shares: dict[int, float]) -> DataFrame:
+    """Models of the closest share of each group by the distances of ``model``; a start of its own for each of ``shares``."""
+    placed = _distance(_joined(vectors, model, "g")).withColumn("bin", F.least(F.floor(F.log2(F.col("d2") + 1.0) * 16), F.lit(BINS - 1)))
+    sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]]
+    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
+    binned = placed.groupBy("g", "start", "bin").agg(*sums)
+    order, total = Window.partitionBy("g", "start").orderBy("bin"), Window.partitionBy("g", "start")
+    binned = binned.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("of", F.sum("n").over(total))
+    if len(shares) > 1:
+        cores = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.lit(share).alias("core")) for k, share in shares.items()])).alias("c")
+        binned = binned.drop("start").select("*", cores).select("*", "c.start", "c.core").drop("c")
+    else:
+        binned = binned.withColumn("core", F.lit(next(iter(shares.values()))))
+    core = binned.where(F.col("before") < F.col("of") * F.col("core")).groupBy("g", "start")
+    core = core.agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS]]])
+    moments = core.select(
+        "g",
+        "start",
+        *[(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(DIMS)],
+        *[
+            (
+                (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / SCALE**2 * CONSISTENCY
+                + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
+            ).alias(f"c{i}{j}")
+            for i, j in PAIRS
+        ],
+    )
+    return materialise(_cholesky(moments), "mcd")
+
+
 def fit_outlier_model(vectors: DataFrame) -> DataFrame:
-    """One row (g, centre, Cholesky factor) per group of ``vectors`` (g, x0..x3); it is written out between steps."""
+    """One row (g, centre, Cholesky factor, log_det) per group of ``vectors`` (g, x0..x3); it is written out between steps."""
     plain = [F.col(f"x{i}") / F.lit(float(SCALE)) for i in range(DIMS)]
-    centre = _medians(vectors, plain, lambda c: c).toDF("g", *[f"m{i}" for i in range(DIMS)])
-    around = vectors.join(centre, "g")
+    centre = materialise(_medians(vectors, plain, lambda c: c).toDF("g", *[f"m{i}" for i in range(DIMS)]), "mcd")
+    around = _joined(vectors, centre, "g")
     spread = _medians(around, list(range(DIMS)), lambda i: F.abs(plain[i] - F.col(f"m{i}"))).toDF("g", *[f"s{i}" for i in range(DIMS)])
-    model = centre.join(spread, "g")
+    model = centre.join(spread, "g").withColumn("start", F.lit(0))
     for i, j in PAIRS:
         wide = F.pow(F.greatest(F.col(f"s{i}") * 1.4826, F.lit(FLOORS[i])), F.lit(2.0))
         model = model.withColumn(f"c{i}{j}", wide if i == j else F.lit(0.0))
-    model = materialise(_cholesky(model), "mcd")
-    for _ in range(STEPS):
-        placed = _distance(vectors.join(model, "g")).withColumn("bin", F.least(F.floor(F.log2(F.col("d2") + 1.0) * 16), F.lit(BINS - 1)))
-        sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMS)]]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-        binned = placed.groupBy("g", "bin").agg(*sums)
-        order, total = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
-        binned = binned.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("of", F.sum("n").over(total))
-        core = binned.where(F.col("before") < F.col("of") * CORE).groupBy("g")
-        core = core.agg(*[F.sum(c).cast("double").alias(c) for c in ["n", *[f"s{i}" for i in range(DIMS)], *[f"q{i}{j}" for i, j in PAIRS]]])
-        moments = core.select(
-            "g",
-            *[(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(DIMS)],
-            *[
-                (
-                    (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) / SCALE**2 * CONSISTENCY
-                    + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
-                ).alias(f"c{i}{j}")
-                for i, j in PAIRS
-            ],
-        )
-        model = materialise(_cholesky(moments), "mcd")
-    return model
+    model = _concentrated(vectors, materialise(_cholesky(model), "mcd"), dict(enumerate(STARTS)))
+    for _ in range(STEPS - 1):
+        model = _concentrated(vectors, model, {0: CORE})
+    names = [*[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS], "log_det"]
+    model = model.withColumn("log_det", 2 * sum((F.log(f"l{i}{i}") for i in range(DIMS)), F.lit(0.0)))
+    best = model.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("log_det", "start")).alias("best"))
+    return materialise(best.select("g", "best.*"), "mcd")
 
 
 def _grouped(stats: DataFrame, n_groups: int) -> DataFrame:
@@ -171,7 +199,7 @@ def _grouped(stats: DataFrame, n_groups: int) -> DataFrame:
         .otherwise(F.lit("all"))
         .alias("g"),
     )
-    return stats.join(place, keys)
+    return _joined(stats, materialise(place, "quality-place"), keys)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
@@ -189,7 +217,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group
     passed = materialise(_grouped(stats.where(~F.col("base_failed")), len(group_cols)), "quality-groups")
     model = fit_outlier_model(passed.select("g", *[f"x{i}" for i in range(DIMS)]))
     seen = ["doc", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = _distance(passed.join(model, "g")).select(*seen, "d2", (F.col("d2") <= CUTOFF).alias("kept"))
+    good = _distance(_joined(passed, model, "g")).select(*seen, "d2", (F.col("d2") <= CUTOFF).alias("kept"))
     return good.unionByName(stats.where("base_failed").select(*seen, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept")))
 
 

@@ -492,6 +492,43 @@ def test_quality_base(spark, docs):
     assert quality_rules.judge(table.where("false")).count() == 0
 
 
+def test_quality_model_against_brute_force(spark):
+    """The determinant that binned concentration reaches, against many random starts with exact subsets; outliers in a cluster don't shift it."""
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g, share in (("a", 0.0), ("b", 0.2)):
+        mix = rng.normal(size=(4, 4)) * 0.3 + np.eye(4)
+        x = rng.normal(size=(400, 4)) @ mix + [5, 1.5, 0.2, 0.3]
+        x[: int(400 * share)] = rng.normal(size=(int(400 * share), 4)) * 0.1 + [9, 7, 6, 5]
+        groups[g] = np.rint(x * quality_rules.SCALE).astype(int)
+    table = spark.createDataFrame([(g, *map(int, r)) for g, x in groups.items() for r in x], "g string, x0 long, x1 long, x2 long, x3 long")
+    got = {r["g"]: r for r in quality_rules.fit_outlier_model(table).collect()}
+    floor = np.diag(np.square(quality_rules.FLOORS))
+    for g, ints in groups.items():
+        x = ints / quality_rules.SCALE
+        best = (np.inf, None, None)
+        for _ in range(60):
+            some = x[rng.choice(len(x), 8, replace=False)]
+            mean, cov = some.mean(0), np.cov(some.T, bias=True) + 1e-3 * np.eye(4)
+            for _ in range(12):
+                d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                core = x[np.argsort(d)[: int(len(x) * quality_rules.CORE)]]
+                mean, cov = core.mean(0), np.cov(core.T, bias=True) * quality_rules.CONSISTENCY + floor
+            best = min(best, (np.linalg.slogdet(cov)[1], mean, cov), key=lambda b: b[0])
+        assert got[g]["log_det"] < best[0] + 0.35
+        assert np.abs(np.array([got[g][f"m{i}"] for i in range(4)]) - best[1]).max() < 0.25
+    assert got["b"]["m1"] < 3
+
+
+def test_quality_keeps_clashing_columns_nulls_and_empty_tables(spark):
+    rows = [(k, f"{' '.join('w%d' % (k * 7 % 31 + j * 5 % 97) for j in range(80))}", k) for k in range(100)] + [(None, None, 1), (7, "", 2), (7, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept long")
+    docs = docs.withColumn("n_words", F.lit("x")).withColumn("d2", F.lit(1)).withColumn("g", F.lit(2)).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s"))
+    out = quality_rules.filter_quality(docs)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == set(range(100)) - {7} | {7}
+    assert quality_rules.filter_quality(docs.where("false")).count() == 0
+
+
 def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     rng = random.Random(2)
     rows = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 400)))) for k in range(300)]
