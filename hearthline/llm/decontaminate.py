@@ -4,10 +4,13 @@ An item becomes windows of ten consecutive words (one shorter window if it has f
 shingles (word pairs; the word itself where a window is a single word) are ordered by how often they
 occur in all documents. A window must be contained whole, so its necessary prefix is its one rarest
 shingle: documents are joined with the windows on that shingle alone. Length and positional bounds
-then fix the only place a window could have in the document, and the words there are compared.
+then fix the only place a window could have in the document, and the words there are compared, all of
+them, by their 64-bit hashes: exact but for collisions of those.
 
-The benchmark comes to the executors in blocks of at most ``BLOCK_BYTES`` of text, each a broadcast
-of bounded size; documents are never shuffled.
+How often shingles occur is counted for the whole benchmark in one scan of the documents, by places of
+a table of fixed size (the order is right however many shingles share a place). The benchmark comes to
+the executors in blocks of at most ``BLOCK_BYTES`` of text, each a broadcast of bounded size, one after
+another in one more scan; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from hearthline.llm import kernel
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
-RESULT = "n_words long, n_hit long, n_items long, items array<long>, contaminated boolean"
+#: Places of the table of shingle counts, as a power of two.
+PLACE_BITS = 22
+RESULT = "n_words long, n_hit long, n_items long, items array<{}>, contaminated boolean"
 
 
 class Lookup:
@@ -66,7 +71,8 @@ def _pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Block:
     """The windows of some benchmark items, and the shingles they are made of."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list, texts: list[str]):
+        self.ids = ids
         column = pa.array(texts, pa.large_string())
         raw, offsets = kernel.utf8(column)
         starts, ends, first = kernel.find_words(raw, offsets, kernel.ALNUM)
@@ -76,7 +82,7 @@ class Block:
         per_item = np.where(counts > 0, counts - size + 1, 0)
         self.start = kernel.ranges(first[:-1], per_item)
         self.size = np.repeat(size, per_item)
-        self.item = np.repeat(np.array(ids, np.int64), per_item)
+        self.item = np.repeat(np.arange(len(ids)), per_item)
         # The shingles of window w: single for one-word windows, else its word pairs.
         pairs = np.concatenate([kernel.combine(self.words, 2), np.zeros(1, np.uint64)])
         n_shingles = np.maximum(self.size - 1, 1)
@@ -89,8 +95,8 @@ class Block:
         self.keys = np.unique(self.shingle)
 
     def index(self, counts: np.ndarray) -> "Index":
-        """The windows under their rarest shingle, given how often each key occurs in the documents."""
-        rarity = counts[np.searchsorted(self.keys, self.shingle)]
+        """The windows under their rarest shingle, given how often the shingles of each place occur in the documents."""
+        rarity = counts[_places(self.shingle)]
         order = np.lexsort((self.offset, rarity, self.owner))
         head = np.ones(len(order), bool)
         head[1:] = self.owner[order][1:] != self.owner[order][:-1]
@@ -110,11 +116,11 @@ class Index:
         window = block.owner[chosen]
         self.offset, self.start = block.offset[chosen], block.start[window]
         self.size, self.item = block.size[window], block.item[window]
-        self.words = block.words
+        self.words, self.ids = block.words, block.ids
         self.singles = bool(block.single.any())
 
     def occurrences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, size, item) of every occurrence of a window."""
+        """(first word, size, item's place in ids) of every occurrence of a window."""
         pairs, place = _pairs(hashes, first)
         at, key = self.lookup.find(pairs)
         at = place[at]
@@ -137,7 +143,7 @@ class Index:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
     ids, texts, held = [], [], 0
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
+    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col)
     for item, text in rows.toLocalIterator():
         if ids and held + len(text) > BLOCK_BYTES:
             yield Block(ids, texts)
@@ -149,24 +155,31 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
         yield Block(ids, texts)
 
 
-def _rarity(docs: DataFrame, text_col: str, block: Block) -> np.ndarray:
-    """How often each key of the block occurs in all documents; as many rows come back as the block has keys."""
-    keys = docs.sparkSession.sparkContext.broadcast(block.keys)
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+
+
+def _rarity(docs: DataFrame, text_col: str, wanted: np.ndarray) -> np.ndarray:
+    """How often the shingles of each wanted place occur in all documents; at most as many rows come back as there are places."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def count(batches):
-        lookup = Lookup(keys.value)
-        total = np.zeros(len(keys.value), np.int64)
+        table = np.unpackbits(shared.value).astype(bool)
+        total = np.zeros(len(table), np.int64)
         for batch in batches:
             for _, _, hashes, first in _words(batch.column(0)):
                 for found in (_pairs(hashes, first)[0], hashes):
-                    total += np.bincount(lookup.find(found)[1], minlength=len(total))
+                    place = _places(found)
+                    place, n = np.unique(place[table[place]], return_counts=True)
+                    total[place] += n
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["k", "n"])
+        for k in range(0, len(seen), 1 << 18):
+            some = seen[k : k + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(block.keys), np.int64)
-    for k, n in rows.toLocalIterator():
-        counts[k] = n
+    found = docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(wanted), np.int64)
+    counts[found["k"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
@@ -176,18 +189,23 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     A document word inside any occurrence of an item's window is hit; ``items`` are the distinct ids
     of items with an occurring window, ascending. Words are ``[0-9a-z]`` and non-ASCII runs after
     lower-casing A-Z. Null or empty texts have no words; items without id or words have no windows;
-    repeated items and rows count alike; an empty benchmark hits nothing. Input columns that bear a
-    result's name are replaced.
+    repeated items and rows count alike; an empty benchmark hits nothing. Ids of items may be of any
+    atomic type. Input columns that bear a result's name are replaced.
     """
     spark = docs.sparkSession
+    kind = benchmark.schema[item_id].dataType.simpleString()
     names = [f.split()[0] for f in RESULT.split(", ")]
     kept = [c for c in docs.columns if c not in names]
     width = len(kept)
-    rows = docs.select(*kept, F.lit(None).cast("binary").alias("__marks"), F.lit(None).cast("array<long>").alias("__items"))
+    rows = docs.select(*kept, F.lit(None).cast("binary").alias("__marks"), F.lit(None).cast(f"array<{kind}>").alias("__items"))
     schema = rows.schema
     spot = kept.index(text_col)
+    wanted = np.zeros(1 << PLACE_BITS, bool)
+    for block in _blocks(benchmark, item_id, item_text):
+        wanted[_places(block.keys)] = True
+    counts = _rarity(docs, text_col, wanted) if wanted.any() else wanted
     for block in _blocks(benchmark, item_id, item_text):
-        index = spark.sparkContext.broadcast(block.index(_rarity(docs, text_col, block)))
+        index = spark.sparkContext.broadcast(block.index(counts))
 
         def match(batches, index=index):
             for batch in batches:
@@ -200,7 +218,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
             yield _finished(batch, spot, width, names)
 
     out = docs.select(*kept).schema
-    types = spark.createDataFrame([], RESULT).schema
+    types = spark.createDataFrame([], RESULT.format(kind)).schema
     for field in types:
         out = out.add(field)
     return rows.mapInArrow(finish, out)
@@ -223,9 +241,9 @@ def _matched(batch: pa.RecordBatch, spot: int, width: int, index: Index) -> pa.R
             if marks[a + t] is not None:
                 own = own | np.unpackbits(np.frombuffer(marks[a + t], np.uint8), count=len(own)).astype(bool)
             marks[a + t] = np.packbits(own).tobytes()
-            items[a + t] = sorted({*(items[a + t] or ()), *item[text == t].tolist()})
+            items[a + t] = sorted({*(items[a + t] or ()), *(index.ids[k] for k in set(item[text == t].tolist()))})
     columns = [batch.column(k) for k in range(width)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.binary()), pa.array(items, pa.list_(pa.int64()))], schema=batch.schema)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.binary()), pa.array(items, batch.schema.field(width + 1).type)], schema=batch.schema)
 
 
 def _finished(batch: pa.RecordBatch, spot: int, width: int, names: list[str]) -> pa.RecordBatch:
@@ -237,7 +255,7 @@ def _finished(batch: pa.RecordBatch, spot: int, width: int, names: list[str]) ->
     marks, items = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
     n_hit = np.array([0 if m is None else int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for m in marks], np.int64)
     n_items = np.array([len(x or ()) for x in items], np.int64)
-    results = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array([x or [] for x in items], pa.list_(pa.int64())), pa.array(n_hit > 0)]
+    results = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array([x or [] for x in items], batch.schema.field(width + 1).type), pa.array(n_hit > 0)]
     columns = [batch.column(k) for k in range(width)]
     return pa.RecordBatch.from_arrays([*columns, *results], [*batch.schema.names[:width], *names])
 

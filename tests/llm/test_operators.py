@@ -584,6 +584,14 @@ def test_decontamination(spark, docs, block, monkeypatch):
     assert decontaminate.mark_contamination(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def test_decontamination_by_textual_ids(spark, docs):
+    base = next(t for i, t in rows_of(docs) if i == 5)
+    items = [("b", " ".join(base.split()[20:45])), ("a", " ".join(base.split()[30:60])), ("b", "nowhere to be found"), ("", "one")]
+    out = decontaminate.mark_contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
+    got = {(r["doc_id"], tuple(r["items"])) for r in out.collect()}
+    assert got == {(i, tuple(brute_marks(t, items)[2])) for i, t in rows_of(docs)} and any({"a", "b"} <= set(x) for _, x in got)
+
+
 DATA = "/root/testdata/sf0.001"
 
 
