@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams of a lower-cased text, hashed to ``2**BITS`` places. Each
+Features are the distinct character n-grams of a lower-cased text, hashed to ``2**BITS`` places. Each
 feature's value is its log-count ratio between the classes; logistic regression over those values is
 fitted by L-BFGS. Fitting uses a bounded, documented sample of labelled rows (``SAMPLE_ROWS`` rows of
 each class in hash order, together at most ``SAMPLE_FEATURES`` features), and the bias is then set to
@@ -23,21 +23,19 @@ BITS = 22
 SAMPLE_ROWS, SAMPLE_FEATURES = 3000, 24_000_000
 RIDGE, SMOOTH, LEAST_COUNT, LEAST_RATIO, ITERATIONS = 0.002, 20.0, 8, 1.0, 40
 
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashed(raw: np.ndarray) -> list[np.ndarray]:
-    """The place of every n-gram that starts at each byte, by n (those at the end are fewer)."""
-    code = _LOWER[raw]
+def _hashed(code: np.ndarray) -> list[np.ndarray]:
+    """The place of every n-gram that starts at each code point, by n (those at the end are fewer): polynomials, then mixed."""
     out, value = [], np.zeros(len(code), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         if len(code) < n:
             break
-        value = (value[: len(code) - n + 1] << np.uint64(8)) | code[n - 1 :]
+        value = value[: len(code) - n + 1] * _BASE + code[n - 1 :]
         if n in GRAMS:
-            mixed = (value + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((mixed >> np.uint64(64 - BITS)).astype(np.int32))
+            mixed = value ^ (value >> np.uint64(32))
+            out.append(((mixed + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - BITS)).astype(np.int32))
     return out
 
 
@@ -47,13 +45,13 @@ class Features:
     def __init__(self):
         self.place = np.zeros(1 << BITS, np.int32)
 
-    def of(self, raw: np.ndarray) -> np.ndarray:
-        """Each feature of the text once. Long texts go block by block, so only the distinct features are held."""
-        if len(raw) > kernel.BLOCK:
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """Each feature of a text, given as code points, once. Long texts go block by block, so only the distinct features are held."""
+        if len(code) > kernel.BLOCK:
             step, lap = kernel.BLOCK - max(GRAMS) + 1, max(GRAMS) - 1
-            parts = [self.of(raw[k : k + step + lap]) for k in range(0, len(raw), step)]
+            parts = [self.of(code[k : k + step + lap]) for k in range(0, len(code), step)]
             return np.unique(np.concatenate(parts))
-        parts = _hashed(raw)
+        parts = _hashed(code.astype(np.uint64))
         if not parts:
             return np.zeros(0, np.int32)
         all_ = np.concatenate(parts)
@@ -63,9 +61,14 @@ class Features:
 
 
 def _texts(column: pa.Array):
+    """The code points of each lower-cased text."""
     raw, offsets = kernel.utf8(column)
     for k in range(len(offsets) - 1):
-        yield raw[offsets[k] : offsets[k + 1]]
+        text = raw[offsets[k] : offsets[k + 1]].tobytes()
+        if text.isascii():
+            yield np.frombuffer(text.lower(), np.uint8)
+        else:
+            yield np.frombuffer(text.decode().lower().encode("utf-32-le"), "<u4")
 
 
 def train(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, float]:
@@ -148,24 +151,29 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> tuple[np.ndarray, float]:
     """The model from labelled rows that are not held out.
 
-    A document with several labels is toxic if one says so; null labels do not count.
+    A document with several labels is toxic if one says so; null labels do not count. Of several
+    texts with one id, the one with the smallest hash is taken. Without rows of both classes the model
+    is a bias alone.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__toxic"))
     sizes = {r["__toxic"] > 0: r["n"] for r in known.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("__id"), F.col("__id"))
     known = known.where("__toxic > 0").orderBy(*order).limit(SAMPLE_ROWS).unionByName(known.where("__toxic <= 0").orderBy(*order).limit(SAMPLE_ROWS))
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select("__id", "__toxic", text_col)
+    rows = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col("__own") == F.col("__id"))
+    rows = rows.select("__id", "__toxic", "__text", F.xxhash64("__text").alias("__version"))
 
     def featurise(batches):
         maker = Features()
         for batch in batches:
             found = [maker.of(t) for t in _texts(batch.column(2))]
-            columns = [batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "n", "features"])
+            columns = [batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "n", "features", "version"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    table = materialise(rows.mapInArrow(featurise, f"id {kind}, toxic int, n long, features binary").dropDuplicates(["id"]), "toxic-sample")
+    table = materialise(rows.mapInArrow(featurise, f"id {kind}, toxic int, n long, features binary, version long"), "toxic-rows")
+    only = table.groupBy("id").agg(F.min("version").alias("version"))  # ids and hashes alone; features stay where they are
+    table = materialise(table.join(F.broadcast(only), ["id", "version"]).dropDuplicates(["id"]), "toxic-sample")
     upto = 0
     chosen = []
     for key, n in table.orderBy(F.xxhash64("id"), "id").select("id", "n").toLocalIterator():  # at most 2 * SAMPLE_ROWS rows

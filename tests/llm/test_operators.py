@@ -312,6 +312,48 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))[1] == 0.0
 
 
+def test_toxicity_against_a_plain_fit(spark):
+    """Scores against log-count ratios and a regression over n-grams cut from the strings themselves, non-ASCII ones too."""
+    rng = random.Random(14)
+    stems = ["ärger", "ölig", "größe", "plain", "word", "ñandú", "中文字符测试词", "blümchen"]
+    rows, labels = [], []
+    for k in range(400):
+        words = [rng.choice(stems) for _ in range(12)] + (["Übelwort"] if k % 2 else ["gutwort"]) * (rng.random() < 0.8)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, k % 2))
+    train = [(t, k % 2) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    grams = lambda t: {t.lower()[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+    sets, y = [grams(t) for t, _ in train], np.array([v for _, v in train], float)
+    pos, neg, share = {}, {}, y.mean()
+    for s, v in zip(sets, y, strict=True):
+        for g in s:
+            (pos if v else neg)[g] = (pos if v else neg).get(g, 0) + 1
+    ratio = {g: np.log((pos.get(g, 0) + toxicity.SMOOTH * share) / y.sum()) - np.log((neg.get(g, 0) + toxicity.SMOOTH * (1 - share)) / (1 - y).sum()) for g in {*pos, *neg}}
+    names = [g for g, r in ratio.items() if abs(r) >= toxicity.LEAST_RATIO and pos.get(g, 0) + neg.get(g, 0) >= toxicity.LEAST_COUNT]
+    x = np.array([[ratio[g] * (g in s) for g in names] + [1.0] for s in sets])
+    w, ridge = np.zeros(len(names) + 1), np.append(np.full(len(names), toxicity.RIDGE * len(sets)), 0.0)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    want = {k: 1 / (1 + np.exp(-(sum(ratio[g] * v for g, v in zip(names, w) if g in grams(t)) + w[-1]))) for k, t in rows}
+    assert max(abs(got[k] - want[k]) for k in got) < 0.03 and {round(v) for v in want.values()} == {0, 1}
+
+
+def test_toxicity_of_repeated_ids_one_class_and_empty_tables(spark):
+    rows = [(k, f"some words {k % 7} here") for k in range(40)] + [(3, "another text"), (3, "a third text"), (3, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__id", F.lit(1)).withColumn("toxic", F.lit("x"))
+    both = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    first, second = (toxicity.fit(d, both) for d in (docs, docs.orderBy(F.desc("text"))))
+    assert first[1] == second[1] and (first[0] == second[0]).all()
+    one = toxicity.fit(docs, both.where("toxic = 1"))
+    assert not one[0].any() and one[1] > 0
+    none = docs.where("false")
+    assert toxicity.score(none, toxicity.fit(none, both)).count() == 0
+
+
 def test_line_dedup(spark, docs):
     rows = rows_of(docs)
     key = lambda line: lower(line.strip(SPACE))
