@@ -32,7 +32,8 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 ARCHIVE_DATE = "20240101000000"
-RECORDS_PER_FILE = 2000
+#: (bytes of a page at most, records in an archive): an archive is read back whole, so it holds about 256 MB at most, or one record.
+FILES = ((128 << 10, 2000), (4 << 20, 64), (1 << 31, 1))
 DIGEST_FROM = 100
 
 
@@ -199,15 +200,20 @@ def archive_pages(pages: DataFrame, path: str, id_col="page_id", url_col="url",
     later = later.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), "first").distinct()
     match = F.col("id").eqNullSafe(F.col("__id")) & (F.sha2("html", 256) == F.col("__digest"))
     rows = plain.join(later, match, "left").select("id", "url", "html", "first")
+    size, least = F.octet_length("html"), [-1, *(most for most, _ in FILES)]
+    classes = [(size > a) & (size <= b) for a, b in zip(least, least[1:], strict=False)]
+    present = plain.agg(*[F.max(F.coalesce(c.cast("int"), F.lit(0))).alias(f"c{k}") for k, c in enumerate(classes)]).first()
 
     def convert(batches):
         for number, batch in enumerate(batches):
             for a, b in kernel.slices(kernel.utf8(batch.column(2))[1]):
                 yield _converted(batch.slice(a, b - a), "12"[number % 2])
 
-    records = rows.mapInArrow(convert, "record string")
-    writer = records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for k, (_, most) in enumerate(FILES):
+        if present[k] or not k:  # the first class is written even if it is empty
+            records = rows.where(classes[k]).mapInArrow(convert, "record string")
+            writer = records.write.mode("append" if k else "errorifexists").option("lineSep", "\r\n\r\n").option("compression", "gzip")
+            writer.option("maxRecordsPerFile", most).text(path)
 
 
 def _converted(batch: pa.RecordBatch, version: str) -> pa.RecordBatch:

@@ -484,7 +484,9 @@ def test_pii_of_very_many_matches(spark):
     assert sorted((s["start"], s["end"], s["kind"]) for s in r["base"]) == pii_spans(text)
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("files", [warc.FILES, ((10, 3), (300, 2), (1 << 31, 1))])
+def test_warc(spark, tmp_path, files, monkeypatch):
+    monkeypatch.setattr(warc, "FILES", files)
     big = "<html>" + "x" * 200
     rows = [(3, "http://a b\n", big), (1, None, big), (2, "u", big), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (None, "u", big), (7, "WARC/1.1\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\n" * 20), (8, "é", "é中\r\n\r\n" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(1))
