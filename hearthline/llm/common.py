@@ -55,11 +55,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
+        self.shared: list = []
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        self.release()
         self._delete(self.folder)
 
     def _delete(self, path: str) -> None:
@@ -67,8 +69,20 @@ class Scratch:
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written and read back."""
-        return _write(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        """``df`` written and read back; what was broadcast until now is let go."""
+        out = _write(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+        self.release()
+        return out
+
+    def broadcast(self, value):
+        """A value for the next table alone."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def release(self) -> None:
+        """Lets go of what was broadcast."""
+        while self.shared:
+            self.shared.pop().destroy()
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables of this scratch folder that are not needed any more."""

@@ -16,6 +16,7 @@ another in one more scan; documents are never shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from hearthline.llm import kernel
 
 WINDOW = 10
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, BLOCKS = 2 << 20, 4
 #: Places of the table of shingle counts, as a power of two.
 PLACE_BITS = 22
 RESULT = "n_words long, n_hit long, n_items long, items array<{}>, contaminated boolean"
@@ -204,24 +205,27 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     for block in _blocks(benchmark, item_id, item_text):
         wanted[_places(block.keys)] = True
     counts = _rarity(docs, text_col, wanted) if wanted.any() else wanted
-    for block in _blocks(benchmark, item_id, item_text):
-        index = spark.sparkContext.broadcast(block.index(counts))
-
-        def match(batches, index=index):
-            for batch in batches:
-                yield _matched(batch, spot, width, index.value)
+    indexes = [spark.sparkContext.broadcast(block.index(counts)) for block in _blocks(benchmark, item_id, item_text)]
 
-        rows = rows.mapInArrow(match, schema)
-
-    def finish(batches):
+    def match(batches, some):
         for batch in batches:
+            for index in some:
+                batch = _matched(batch, spot, width, index.value)
+            yield batch
+
+    def finish(batches, some):
+        for batch in match(batches, some):
             yield _finished(batch, spot, width, names)
 
     out = docs.select(*kept).schema
     types = spark.createDataFrame([], RESULT.format(kind)).schema
     for field in types:
         out = out.add(field)
-    return rows.mapInArrow(finish, out)
+    # A worker holds the indexes of BLOCKS blocks at once; the last ones are matched where the result is made.
+    while len(indexes) > BLOCKS:
+        rows = rows.mapInArrow(partial(match, some=indexes[:BLOCKS]), schema)
+        indexes = indexes[BLOCKS:]
+    return rows.mapInArrow(partial(finish, some=indexes), out)
 
 
 def _matched(batch: pa.RecordBatch, spot: int, width: int, index: Index) -> pa.RecordBatch:
