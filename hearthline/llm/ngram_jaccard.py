@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.llm import kernel
@@ -39,6 +39,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 BANDS, ROWS = 8, 2
 #: Documents in a block of a group; a block's token union is what a query is bounded against.
 BLOCK = 32
+#: Heads of a bucket by the order of a hash, besides its most central class.
+HEADS = 3
 #: Proposals whose minhashes agree in fewer places than this are not compared (the matrix finds what that misses).
 AGREE = 8
 #: Places of the broadcast tables, as powers of two, whatever the corpus: token levels (LEVEL_WIDTH bits each), bits of shared tokens, bits of rows.
@@ -206,9 +208,9 @@ def _row_bits(rows: DataFrame) -> np.ndarray:
     return _bits(rows.select(F.xxhash64("row").alias("h")), ROW_BITS)
 
 
-def _only(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
+def _only(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, object]:
     """``docs`` with the hash of each row, and a broadcast bit table of ``rows``."""
-    return docs.select("row", "text", F.xxhash64("row").alias("h")), docs.sparkSession.sparkContext.broadcast(_row_bits(rows))
+    return docs.select("row", "text", F.xxhash64("row").alias("h")), scratch.broadcast(_row_bits(rows))
 
 
 def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
@@ -218,9 +220,9 @@ def _chosen(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
 # --- exact comparison ------------------------------------------------------------------------------
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, tokens) of the rows in ``wanted`` and of a few others, made anew from their texts where they lie."""
-    docs, table = _only(docs, wanted)
+    docs, table = _only(docs, wanted, scratch)
 
     def make(batches):
         for batch in batches:
@@ -276,13 +278,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _proposals(reps: DataFrame) -> DataFrame:
-    """(a, b): per band bucket, every class with the bucket's smallest, where sizes and minhashes allow a link."""
+    """(a, b): per band bucket, every class with the bucket's heads, where sizes and minhashes allow a link.
+
+    The heads of a bucket are its most central class, the one whose other buckets are the largest, and
+    ``HEADS`` classes by the order of a hash. In a family whose members link with only some of the
+    others, most link with one of these; pairs grow with the number of classes alone.
+    """
     banded = reps.select("row", "n", "mins", F.explode("bands").alias("key"))
-    heads = banded.groupBy("key").agg(F.min(F.struct("row", "n", "mins")).alias("head"), F.count("*").alias("many")).where("many > 1").drop("many")
-    met = banded.join(heads, "key").where(F.col("row") != F.col("head.row"))
+    many = banded.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+    central = banded.select("row", "key").join(many, "key").groupBy("row").agg(F.sum(F.log2("many")).alias("central"))
+    banded = banded.join(central, "row")
+    this = F.struct("row", "n", "mins")
+    chosen = [F.max_by(this, F.struct("central", -F.col("row"))), *[F.min_by(this, F.struct(F.xxhash64("row", F.lit(k)), "row")) for k in range(HEADS)]]
+    heads = banded.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("heads"), F.count("*").alias("many")).where("many > 1").drop("many")
+    met = banded.join(heads, "key").select("row", "n", "mins", F.explode("heads").alias("head")).where(F.col("row") != F.col("head.row"))
     fits = F.least("n", "head.n") * DENOMINATOR >= F.greatest("n", "head.n") * NUMERATOR
     alike = F.size(F.filter(F.zip_with("mins", "head.mins", lambda x, y: x == y), lambda same: same)) >= AGREE
-    return met.where(fits & alike).select(F.col("row").alias("a"), F.col("head.row").alias("b")).distinct()
+    return met.where(fits & alike).select(F.least("row", "head.row").alias("a"), F.greatest("row", "head.row").alias("b")).distinct()
 
 
 # --- the matrix ------------------------------------------------------------------------------------
@@ -295,10 +307,10 @@ def _prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return tokens[np.argsort(level, kind="stable")[:keep]] if level.any() else tokens[:keep]
 
 
-def _counted(docs: DataFrame, rows: DataFrame, levels: list[np.ndarray]) -> DataFrame:
+def _counted(docs: DataFrame, rows: DataFrame, levels: list[np.ndarray], scratch: Scratch) -> DataFrame:
     """(token, n): in how many prefixes by the last of ``levels`` a token is that was not in the same set's prefix by the one before."""
-    docs, table = _only(docs, rows)
-    orders = docs.sparkSession.sparkContext.broadcast(levels[-2:])
+    docs, table = _only(docs, rows, scratch)
+    orders = scratch.broadcast(levels[-2:])
 
     def cut(batches):
         for batch in batches:
@@ -328,24 +340,25 @@ def _order(docs: DataFrame, rows: DataFrame, summaries: DataFrame, scratch: Scra
     powers = [scratch.table(_powers(often), "powers")]
     levels, shared = [_levels(powers)], np.zeros((1 << SHARED_BITS) // 64, np.uint64)
     for k in range(REFINE):
-        counts = _counted(docs, rows, levels)
+        counts = _counted(docs, rows, levels, scratch)
         counts = scratch.table(counts.where("n > 1") if k == 0 else counts, "counts")
         shared |= _bits(counts.select("token"), SHARED_BITS)
         powers.append(scratch.table(_powers(counts), "powers"))
         scratch.drop(counts)
         levels.append(_levels(powers))
-    shared |= _bits(_counted(docs, rows, levels).select("token"), SHARED_BITS)
+    shared |= _bits(_counted(docs, rows, levels, scratch).select("token"), SHARED_BITS)
+    scratch.release()
     return levels[-1], shared
 
 
-def _entries(docs: DataFrame, members: DataFrame, levels: np.ndarray, shared: np.ndarray) -> DataFrame:
+def _entries(docs: DataFrame, members: DataFrame, levels: np.ndarray, shared: np.ndarray, scratch: Scratch) -> DataFrame:
     """(row, n, token, reach, group, size) of every prefix token that may be shared.
 
     ``reach`` is the size of the largest partner that a set can still link with if this token, at its
     place in the order, is the first they have in common.
     """
-    source, table = _only(docs, members)
-    order = docs.sparkSession.sparkContext.broadcast((levels, shared))
+    source, table = _only(docs, members, scratch)
+    order = scratch.broadcast((levels, shared))
 
     def cut(batches):
         for batch in batches:
@@ -428,15 +441,17 @@ def _qualified(entries: DataFrame, members: DataFrame, scratch: Scratch) -> Data
 
 def _opened(queries: DataFrame, members: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that the queries find. A group of one is compared at once; of larger ones each
-    block's token union bounds the query first, and only blocks that qualify are opened."""
+    block's token union bounds the query first, and only blocks that qualify are opened: the one that
+    shares most tokens first, and the others only for queries that have no link with the group by then,
+    as one link with a group is as good as several."""
     single = members.where("size = 1").select("group", F.col("row").alias("b"))
     alone = scratch.table(queries.join(single, "group").select(F.col("query").alias("a"), "b"), "alone")
     blocks = members.where("size > 1").select("group", "block").distinct()
-    several = scratch.table(queries.join(blocks, "group").select("query", "block"), "several")
-    held = members.where("size > 1").join(several.select("block").distinct(), "block", "left_semi").select("row", "block")
+    several = scratch.table(queries.join(blocks, "group").select("query", "group", "block"), "several")
+    held = members.where("size > 1").join(several.select("block").distinct(), "block", "left_semi").select("row", "group", "block")
     held = scratch.table(held, "held")
     rows = alone.select(F.col("a").alias("row")).union(alone.select("b")).union(several.select("query")).union(held.select("row"))
-    sets = scratch.table(_sets(source, rows), "sets")
+    sets = scratch.table(_sets(source, rows, scratch), "sets")
 
     def unite(table: pa.Table) -> pa.Table:
         tokens = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]))
@@ -446,14 +461,24 @@ def _opened(queries: DataFrame, members: DataFrame, source: DataFrame, scratch:
 
     def bound(batches):
         for batch in batches:
-            keep = [_shared(t, u) >= required(len(t) // 8) for t, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["query", "block"])
+            shared = np.array([_shared(t, u) for t, u in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)], np.int64)
+            n = np.array([len(t) // 8 for t in batch.column(3).to_pylist()], np.int64)
+            keep = pa.array(shared >= required(n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(3)), pa.array(shared).filter(keep)], ["query", "group", "block", "shared"])
 
     bounded = _with_sets(several, several, "query", "block", sets, "tokens", scratch).join(unions, "block")
-    open_ = bounded.select("query", "block", "tokens", "union").mapInArrow(bound, "query long, block string")
-    pairs = open_.join(held, "block").select(F.col("query").alias("a"), F.col("row").alias("b")).unionByName(alone)
-    return _verified(scratch.table(pairs, "pairs"), sets, scratch)
+    open_ = bounded.select("query", "group", "block", "tokens", "union").mapInArrow(bound, "query long, group long, block string, shared long")
+    order = Window.partitionBy("query", "group").orderBy(F.desc("shared"), "block")
+    open_ = scratch.table(open_.withColumn("place", F.row_number().over(order)), "open")
+
+    def opened(part: DataFrame) -> DataFrame:
+        return part.join(held.select("row", "block"), "block").select(F.col("query").alias("a"), F.col("row").alias("b"))
+
+    pairs = scratch.table(opened(open_.where("place = 1")).unionByName(alone), "pairs")
+    links = scratch.table(_verified(pairs, sets, scratch), "links")
+    done = links.join(held.select(F.col("row").alias("b"), "group"), "b").select(F.col("a").alias("query"), "group").distinct()
+    rest = scratch.table(opened(open_.where("place > 1").join(done, ["query", "group"], "left_anti")), "pairs")
+    return links.unionByName(_verified(rest, sets, scratch))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,7 +504,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes = scratch.table(classes, "classes")
         reps = classes.select(F.col("class_row").alias("row"), "n", "bands", "mins")
         proposals = scratch.table(_proposals(reps), "proposals")
-        sets = scratch.table(_sets(source, proposals.select(F.col("a").alias("row")).union(proposals.select("b"))), "sets")
+        sets = scratch.table(_sets(source, proposals.select(F.col("a").alias("row")).union(proposals.select("b")), scratch), "sets")
         links = scratch.table(_verified(proposals, sets, scratch), "links")
         scratch.drop(sets)
         groups = components(links, scratch)
@@ -488,7 +513,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = members.join(large, "group", "left").select("row", "group", F.coalesce("size", F.lit(1)).alias("size"))
         cell = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / BLOCK))
         members = scratch.table(members.withColumn("block", F.concat_ws(":", "group", cell)), "members")
-        entries = scratch.table(_entries(source, members, *_order(source, members, summaries, scratch)), "entries")
+        entries = scratch.table(_entries(source, members, *_order(source, members, summaries, scratch), scratch), "entries")
         queries = scratch.table(_qualified(entries, members, scratch), "queries")
         scratch.drop(entries)
         more = scratch.table(_opened(queries, members, source, scratch), "links")
