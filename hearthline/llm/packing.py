@@ -30,7 +30,7 @@ from hearthline.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD, ISLANDS, ROUNDS = 4096, 3, 2
-POPULATION, GENERATIONS, PATIENCE = 5, 48, 12
+POPULATION, GENERATIONS, PATIENCE = 5, 24, 5
 #: A bin with at most so many free places is not opened again at the first level; at each level four times as many.
 SLACK = 4
 PIECES = "piece int, start long, length long, ids_crc32 long"
@@ -172,7 +172,10 @@ class Shard:
 
     def evolve(self, seeds: list) -> list:
         """The population after some generations, best first."""
-        population = seeds + [self.built(noise) for noise in (0.0, 0.02, 0.1, 0.3, 0.6)[: max(0, POPULATION - len(seeds))]]
+        population = sorted([*seeds, self.built(0.0)], key=self.cost)
+        if len(population[0][1]) == self.least:
+            return population
+        population += [self.built(noise) for noise in (0.02, 0.1, 0.3, 0.6)[: max(0, POPULATION - len(population))]]
         population.sort(key=self.cost)
         still = 0
         for _ in range(GENERATIONS):
