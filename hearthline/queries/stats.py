@@ -16,7 +16,7 @@ k AS (SELECT family, src, count(*) AS k FROM edges GROUP BY ALL),
 lag AS (SELECT e.family, e.src AS unit, sum(z.z / k.k) AS lag_z, count(*) AS neighbours FROM edges e JOIN k ON k.family = e.family AND k.src = e.src JOIN z ON z.family = e.family AND z.unit = e.dst GROUP BY ALL)"""
 
 
-@query("moran_global", with_sql("units edges", f"""WITH {_Z},
+_MORAN_SQL = with_sql("units edges", f"""WITH {_Z},
 w AS (SELECT e.family, e.src, e.dst, 1.0 / k.k AS w FROM edges e JOIN k ON k.family = e.family AND k.src = e.src),
 s1 AS (SELECT a.family, sum(a.w) AS s0, sum((a.w + coalesce(b.w, 0)) * (a.w + coalesce(b.w, 0))) / 2 AS s1 FROM w a LEFT JOIN w b ON a.family = b.family AND a.src = b.dst AND a.dst = b.src GROUP BY a.family),
 t AS (SELECT family, unit, sum(t) AS t FROM (SELECT family, src AS unit, sum(w) AS t FROM w GROUP BY ALL UNION ALL SELECT family, dst, sum(w) FROM w GROUP BY ALL) GROUP BY ALL),
@@ -24,16 +24,23 @@ s2 AS (SELECT family, sum(t * t) AS s2 FROM t GROUP BY family),
 x AS (SELECT z.family, first(z.n) AS n, sum(z.z * lag.lag_z) AS cr, sum(z.z * z.z) AS sq FROM z LEFT JOIN lag USING (family, unit) GROUP BY z.family),
 g AS (SELECT x.family, n, n / s0 * cr / sq AS moran_i, -1.0 / (n - 1) AS expected_i,
  (n * n * s1 - n * s2 + 3 * s0 * s0) / ((n * n - 1) * s0 * s0) - 1.0 / ((n - 1) * (n - 1)) AS variance_norm FROM x JOIN s1 USING (family) JOIN s2 USING (family))
-SELECT family, n, round(moran_i, 9) AS moran_i, round(expected_i, 9) AS expected_i, round(variance_norm, 9) AS variance_norm, round((moran_i - expected_i) / sqrt(variance_norm), 6) AS z_norm FROM g"""))
+SELECT family, n, round(moran_i, 9) AS moran_i, round(expected_i, 9) AS expected_i, round(variance_norm, 9) AS variance_norm, round((moran_i - expected_i) / sqrt(variance_norm), 6) AS z_norm FROM g""")
+
+
+@query("moran_global", _MORAN_SQL)
 def moran(spark, d):
     values, edges = M.assemble(S.units(spark, d), S.edges(spark, d))
     out = M.global_moran(values, edges)
     return out.select("family", "n", *[F.round(c, 9).alias(c) for c in ("moran_i", "expected_i", "variance_norm")], F.round("z_norm", 6).alias("z_norm"))
 
 
-@query("moran_direction")
+@query("moran_direction", _MORAN_SQL.replace("SELECT family, n, round(moran_i, 9)", """, zs AS (SELECT family, moran_i, expected_i, (moran_i - expected_i) / sqrt(variance_norm) AS z FROM g),
+p AS (SELECT family, moran_i, expected_i, greatest(0.0, 1 - 2 * sum(CASE WHEN s.range IN (0, 2000) THEN 1 WHEN s.range % 2 = 1 THEN 4 ELSE 2 END * exp(-(least(abs(z), 12) * s.range / 2000) * (least(abs(z), 12) * s.range / 2000) / 2)) * least(abs(any_value(z)), 12) / 6000 / sqrt(2 * pi())) AS p
+      FROM zs, range(2001) s GROUP BY family, moran_i, expected_i)
+SELECT family, round(p, 9) AS p_norm, CASE WHEN p < 0.05 AND moran_i > expected_i THEN 'POSITIVE' WHEN p < 0.05 THEN 'NEGATIVE' ELSE 'NOT_SIGNIFICANT' END AS direction FROM p
+--"""))
 def direction(spark, d):
-    """Normal p-values need the error function, which SQL lacks."""
+    """SQL lacks the error function, so its counterpart integrates the normal density by Simpson's rule."""
     values, edges = M.assemble(S.units(spark, d), S.edges(spark, d))
     return M.direction(M.global_moran(values, edges)).select("family", F.round("p_norm", 9).alias("p_norm"), "direction")
 
@@ -60,7 +67,7 @@ def local(spark, d):
 def _tested(spark, d):
     values, edges = M.assemble(S.units(spark, d), S.edges(spark, d))
     found = M.local_moran(values, edges)
-    return M.local_significance(found, M.permute_local(found, edges))
+    return M.local_significance(found, edges)
 
 
 @query("moran_local_perm")
@@ -70,6 +77,19 @@ def permuted(spark, d):
     return out.select("family", "unit", F.round("local_i", 9).alias("local_i"), F.round("p_sim_two_sided", 6).alias("p_sim"), F.round("z_sim", 6).alias("z_sim"))
 
 
+@query("moran_placeholders", with_sql("units edges", f"""WITH {_Z},
+few AS (SELECT 'single' AS family, 1 AS unit UNION ALL SELECT 'flat', 1 UNION ALL SELECT 'flat', 2)
+SELECT z.family, z.unit, 'ELIGIBLE' AS status, round((z.n - 1) * z.z * lag.lag_z / z.n, 9) AS local_i, lag.unit IS NOT NULL AS tested FROM z LEFT JOIN lag USING (family, unit)
+UNION ALL SELECT family, unit, CASE WHEN family = 'single' THEN 'UNDEFINED' ELSE 'NO_VARIANCE' END, NULL, false FROM few"""))
+def placeholders(spark, d):
+    """Units of families that cannot be tested keep a row."""
+    u = S.units(spark, d).unionByName(spark.createDataFrame([("single", 1, 5.0), ("flat", 1, 5.0), ("flat", 2, 5.0)], "family string, unit long, y double"))
+    values, edges = M.assemble(u, S.edges(spark, d).unionByName(spark.createDataFrame([("flat", 1, 2), ("flat", 2, 1)], "family string, src long, dst long")))
+    tests = M.local_significance(M.local_moran(values, edges), edges)
+    out = M.with_placeholders(tests, values, M.eligibility(values, edges))
+    return out.select("family", "unit", "status", F.round("local_i", 9).alias("local_i"), F.col("p_sim_two_sided").isNotNull().alias("tested"))
+
+
 @query("moran_clusters")
 def clusters(spark, d):
     tests = _tested(spark, d)
