@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.params import INTERFACE, INTERMIX, NON_WUI, Kernel
+from hearthline.params import INTERFACE, INTERMIX, NODATA, NON_WUI, Kernel
 
 
 def world_to_cell(x: Column, y: Column, c0: float, f0: float, a: float, e: float, mode: str = "floor") -> tuple[Column, Column]:
@@ -122,6 +122,12 @@ def classify_circular(runs: DataFrame, points: str, vegetation: str, near: str,
     return runs.withColumn("cls", cls)
 
 
+def mask_domain(raster: DataFrame, domain: DataFrame) -> DataFrame:
+    """Cells that are not in ``domain`` (r, c) become NoData (GRD14, GRD18, GRD26); one row of the domain per cell."""
+    inside = domain.select("r", "c", F.lit(True).alias("__in")).distinct()
+    return raster.join(inside, ["r", "c"], "left").withColumn("cls", F.when(F.col("__in"), F.col("cls")).otherwise(NODATA)).drop("__in")
+
+
 def classify_zonal(blocks: DataFrame, density: str, vegetation: str, near: str, threshold: float, strict: bool = True) -> DataFrame:
     """Adds cls to blocks (GRD16): more than (or at least, if not ``strict``) half vegetated is intermix."""
     dense = F.col(density) > threshold
@@ -154,9 +160,9 @@ def normalise_class(value: Column) -> Column:
 
 
 def class_histogram(raster: DataFrame, by: tuple[str, ...] = (), pixel_km2: float = 0.0009) -> DataFrame:
-    """Pixels and areas per class (GRD25, GRD26, AREA01)."""
+    """Pixels and areas per class (GRD25, GRD26, AREA01); NoData is not valid."""
     n = lambda k: F.count_if(F.col("cls") == k)
-    counted = raster.groupBy(*by).agg(n(NON_WUI).alias("nonwui_pix"), n(INTERMIX).alias("intermix_pix"), n(INTERFACE).alias("interface_pix"), F.count("*").alias("valid_pix"))
+    counted = raster.groupBy(*by).agg(n(NON_WUI).alias("nonwui_pix"), n(INTERMIX).alias("intermix_pix"), n(INTERFACE).alias("interface_pix"), F.count_if(F.col("cls") != NODATA).alias("valid_pix"))
     wui = F.col("intermix_pix") + F.col("interface_pix")
     return counted.withColumn("wui_pix", wui).withColumn("wui_km2", F.round(wui * pixel_km2, 6)).withColumn("valid_km2", F.round(F.col("valid_pix") * pixel_km2, 6))
 
@@ -211,5 +217,5 @@ def nodata_audit(raster: DataFrame, value: str, declared: int) -> DataFrame:
     return raster.agg(
         F.count_if(v == declared).alias("declared_nodata"),
         F.count_if((v == declared) & v.isin(NON_WUI, INTERMIX, INTERFACE)).alias("valid_lost"),
-        F.count_if(~v.isin(NON_WUI, INTERMIX, INTERFACE, 255)).alias("outside_domain"),
+        F.count_if(~v.isin(NON_WUI, INTERMIX, INTERFACE, NODATA)).alias("outside_domain"),
     )

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from hearthline.session import scratch_dir
 
 
 class KeyNotUnique(ValueError):
@@ -40,18 +45,36 @@ def join_with_indicator(left: DataFrame, right: DataFrame, key: list[str]) -> Da
     return both.withColumn("merge", side).drop("__l", "__r")
 
 
+#: Up to so many ranges are broadcast as sorted arrays.
+BROADCAST_RANGES = 1_000_000
+
+
 def range_lookup(values: DataFrame, value: str, ranges: DataFrame, upper: str, payload: str) -> DataFrame:
-    """The payload of the first range whose upper bound is at least the value (JOIN10): one sort, no pairs.
+    """The payload of the first range whose upper bound is at least the value (JOIN10); null beyond the last, or for a null value.
 
-    Bounds and values are merged and the next bound is carried back over the values; values beyond
-    the last bound get null. Blocks of the value's leading digits keep the sort distributed.
+    Ranges are counted first. Up to ``BROADCAST_RANGES`` of them go to the executors as sorted arrays
+    and each batch of values is one binary search. More are cut into spans by a window and met by a
+    join on the inequality, in which Spark compares every value with every span.
     """
-    marks = ranges.select(F.col(upper).cast("double").alias("__at"), F.lit(1).alias("__kind"), F.col(payload).alias("__payload"))
-    bounds = marks.orderBy("__at").select("__at", "__payload")
-    order = Window.orderBy("__at")
-    spans = bounds.select(F.lag("__at").over(order).alias("__lo"), F.col("__at").alias("__hi"), "__payload")  # as many rows as ranges
-    inside = (F.col("__lo").isNull() | (F.col(value) > F.col("__lo"))) & (F.col(value) <= F.col("__hi"))
-    return values.join(spans, inside, "left").drop("__lo", "__hi").withColumnRenamed("__payload", payload)
+    bounds = ranges.where(F.col(upper).isNotNull()).select(F.col(upper).cast("double").alias("__hi"), F.col(payload).alias("__payload"))
+    bounds = bounds.groupBy("__hi").agg(F.min("__payload").alias("__payload"))
+    if bounds.count() > BROADCAST_RANGES:
+        spans = bounds.select(F.lag("__hi").over(Window.orderBy("__hi")).alias("__lo"), "__hi", "__payload")
+        inside = (F.col("__lo").isNull() | (F.col(value) > F.col("__lo"))) & (F.col(value) <= F.col("__hi"))
+        return values.join(spans, inside, "left").drop("__lo", "__hi").withColumnRenamed("__payload", payload)
+    table = bounds.toArrow().sort_by("__hi")
+    shared = values.sparkSession.sparkContext.broadcast((table["__hi"].to_numpy(), table["__payload"].combine_chunks()))
+    kept = values.select("*", F.col(value).cast("double").alias("__at"))
+
+    def find(batches):
+        highs, payloads = shared.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            spot = np.searchsorted(highs, at)
+            found = payloads.take(pa.array(spot, mask=np.isnan(at) | (spot >= len(highs))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], payload])
+
+    return kept.mapInArrow(find, StructType([*values.schema.fields, StructField(payload, ranges.schema[payload].dataType)]))
 
 
 def override(base: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -105,9 +128,22 @@ def top_by(df: DataFrame, key: list[str], n: int, *order) -> DataFrame:
 
 
 def running_group(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Number of the group a row belongs to when rows are grouped by key in key order, from 0 (WIN02)."""
-    numbered = df.select(key).distinct().withColumn("group_id", F.row_number().over(Window.orderBy(key)) - 1)
-    return df.join(numbered, key)
+    """Number of the group a row belongs to when rows are grouped by key in key order, from 0 (WIN02).
+
+    Keys are dealt to ranges and numbered within each; what earlier ranges hold, one number per range,
+    is added. No task sees all keys.
+    """
+    keys = df.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(key).sortWithinPartitions(key)
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    keys = keys.select(key, F.monotonically_increasing_id().alias("__n")).checkpoint()
+    part, place = F.shiftright("__n", 33), F.col("__n").bitwiseAND((1 << 33) - 1)
+    sizes = keys.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    offsets = sizes.select("__part", before.alias("__before"))
+    numbered = keys.select(key, part.alias("__part"), place.alias("__place")).join(F.broadcast(offsets), "__part")
+    return df.join(numbered.select(key, (F.col("__before") + F.col("__place")).alias("group_id")), key)
 
 
 def custom_rank(column: Column, order: list[str]) -> Column:

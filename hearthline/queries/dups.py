@@ -103,7 +103,7 @@ def policies(spark, d):
     return flags.agg(*[F.count_if(F.col(f"keep_p{k}")).alias(f"p{k}") for k in range(1, 5)])
 
 
-@query("dup_normalised_text", "SELECT role, count(DISTINCT upper(trim(regexp_replace(left(text, 40), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')))) AS different FROM conversations GROUP BY role")
+@query("dup_normalised_text", "SELECT role, count(DISTINCT upper(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')))) AS different FROM conversations GROUP BY role")
 def normalised(spark, d):
-    rows = table(spark, d, "conversations").select("role", D.normalise_text(F.substring("text", 1, 40)).alias("t"))
+    rows = table(spark, d, "conversations").select("role", D.normalise_text(F.col("text")).alias("t"))
     return rows.groupBy("role").agg(F.count_distinct("t").alias("different"))

@@ -37,6 +37,18 @@ def class_circular(spark, d):
     return S.class_p(spark, d)
 
 
+_DOMAIN = "(r - 128) * (r - 128) + (c - 128) * (c - 128) <= 12100 AND (r - 100) * (r - 100) + (c - 90) * (c - 90) > 900"
+
+
+@query("grd_class_domain", with_sql("grid class_p", f"""WITH m AS (SELECT r // 64 AS band, CASE WHEN {_DOMAIN} THEN cls ELSE 255 END AS cls FROM class_p)
+SELECT band, count(*) FILTER (cls = 0) AS nonwui_pix, count(*) FILTER (cls = 1) AS intermix_pix, count(*) FILTER (cls = 2) AS interface_pix, count(*) FILTER (cls <> 255) AS valid_pix FROM m GROUP BY 1"""))
+def class_domain(spark, d):
+    """Classes within a state's cells, here a disk with a hole; the rest is NoData and not valid."""
+    masked = G.mask_domain(S.class_p(spark, d), S.cells(spark).where(_DOMAIN))
+    counted = G.class_histogram(masked.withColumn("band", F.floor(F.col("r") / 64).cast("long")), ("band",))
+    return counted.select("band", "nonwui_pix", "intermix_pix", "interface_pix", "valid_pix")
+
+
 @query("grd_class_zonal", with_sql("zonal", "SELECT blk, hu, veg, near, cls FROM zonal"))
 def class_zonal(spark, d):
     return S.zonal(spark, d).select("blk", "hu", "veg", "near", "cls")

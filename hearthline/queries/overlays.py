@@ -149,10 +149,10 @@ def closure(spark, d):
     return P.closure(out, F.lit(0)).select("official", "closed")
 
 
-@query("pop_zone_direct", with_sql("zonal points_p", f"""WITH {_POP}, x AS (SELECT z.blk AS l, p.blk AS q, z.cls, p.pop FROM (SELECT * FROM zonal WHERE blk % 7 <> 0) z FULL JOIN pop p ON z.blk = p.blk)
+@query("pop_zone_direct", with_sql("zonal points_p", f"""WITH {_POP}, x AS (SELECT z.blk AS l, p.blk AS q, z.cls, p.pop FROM zonal z FULL JOIN pop p ON z.blk = p.blk)
 SELECT CASE WHEN l IS NULL THEN 'right_only' WHEN q IS NULL THEN 'left_only' ELSE 'both' END AS merge, cls, count(*) AS zones, CAST(sum(pop) AS BIGINT) AS population FROM x GROUP BY ALL"""))
 def zone_direct(spark, d):
-    return P.zone_direct(S.zonal(spark, d).where("blk % 7 <> 0"), _population(spark, d), "blk")
+    return P.zone_direct(S.zonal(spark, d), _population(spark, d), "blk")
 
 
 @query("pop_delta_equals_full", with_sql("points_s class_z", """SELECT (r // 16) * 16 + c // 16 AS blk, count(*) FILTER (cls = 0) AS n0, count(*) FILTER (cls = 1) AS n1, count(*) FILTER (cls = 2) AS n2, true AS same

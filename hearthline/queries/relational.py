@@ -26,10 +26,10 @@ def many_to_one(spark, d):
 
 
 @query("rel_join_full_indicator", """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right_only' WHEN b.k IS NULL THEN 'left_only' ELSE 'both' END AS merge
-FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 2 = 0) b ON a.k = b.k""")
+FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT DISTINCT l_suppkey * 31 AS k FROM lineitem) b ON a.k = b.k""")
 def full(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k")).where("k % 3 <> 0")
-    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).where("k % 2 = 0").distinct()
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    b = table(spark, d, "lineitem").select((F.col("l_suppkey") * 31).alias("k")).distinct()
     return R.join_with_indicator(a, b, ["k"])
 
 

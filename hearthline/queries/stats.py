@@ -144,6 +144,31 @@ def pip(spark, d):
     return V.resolve_assignment(points, V.points_in_polygons(points, boxes, 32.0), boxes.select("gid", "zone"))
 
 
+def _holed(spark, d):
+    """Boxes with a hole of half their width in the middle, run the other way round, and a second part beside them."""
+    b = _boxes(spark, d)
+    x, y = F.element_at("xs", 1), F.element_at("ys", 1)
+    w = F.array_max("xs") - F.array_min("xs")
+    ring = lambda x0, y0, size: (F.array(x0, x0 + size, x0 + size, x0), F.array(y0, y0, y0 + size, y0 + size))
+    hole, part = ring(x + w / 4, y + w / 4, w / 2), ring(x + w + 4, y, w / 2)
+    rows = [b.select("gid", *[c.alias(n) for c, n in zip(r, ("xs", "ys"), strict=True)]) for r in (ring(x, y, w), [F.reverse(c) for c in hole], part)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("pip_holes_and_parts", with_sql("points_p", f"""WITH {_BOXES}, s AS (SELECT gid, x, y, w, p.c AS px, p.r AS py, p.id FROM boxes b, points_p p
+ WHERE p.c BETWEEN x AND x + w + 4 + w / 2 AND p.r BETWEEN y AND y + w)
+SELECT id AS pid, gid FROM s WHERE (px <= x + w AND NOT (px > x + w / 4 AND px < x + w - w / 4 AND py > y + w / 4 AND py < y + w - w / 4)) OR (px >= x + w + 4 AND py <= y + w / 2)"""))
+def pip_holes(spark, d):
+    points = S.points_p(spark, d).select(F.col("id").alias("pid"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    return V.points_in_polygons(points, _holed(spark, d), 32.0)
+
+
+@query("vec_holes_area", f"WITH {_BOXES} SELECT gid, CAST(w * w AS DOUBLE) AS area FROM boxes")
+def holed_area(spark, d):
+    """A quarter of the area is a hole and another quarter a part beside it."""
+    return V.centroids(_holed(spark, d), "gid", "xs", "ys").select("gid", F.round("area", 6).alias("area"))
+
+
 @query("vec_area_centroid", f"WITH {_BOXES} SELECT gid, CAST(w * w AS DOUBLE) AS area, x + w / 2 AS cx, y + w / 2 AS cy FROM boxes")
 def centroid(spark, d):
     out = V.centroids(_boxes(spark, d), "gid", "xs", "ys")
@@ -155,12 +180,12 @@ def rasterize(spark, d):
     return V.fill_polygon(_boxes(spark, d))
 
 
-@query("patch_components_area", with_sql("points_p", """WITH RECURSIVE d AS (SELECT DISTINCT r // 4 AS r, c // 4 AS c FROM points_p WHERE id % 2 = 0),
+@query("patch_components_area", with_sql("points_p", """WITH RECURSIVE d AS (SELECT DISTINCT r // 4 AS r, c // 4 AS c FROM points_p),
 reach AS (SELECT r, c, r AS r2, c AS c2 FROM d UNION SELECT reach.r, reach.c, d.r, d.c FROM reach JOIN d ON abs(d.r - reach.r2) + abs(d.c - reach.c2) = 1),
 l AS (SELECT r, c, min(r2 * 4294967296 + c2) AS patch FROM reach GROUP BY ALL)
 SELECT patch, count(*) AS cells FROM l GROUP BY patch""").replace("WITH points_p", "WITH RECURSIVE points_p").replace(",\nRECURSIVE d", ",\nd"))
 def patches(spark, d):
-    cells = S.points_p(spark, d).where("id % 2 = 0").select(F.floor(F.col("r") / 4).alias("r"), F.floor(F.col("c") / 4).alias("c")).distinct()
+    cells = S.points_p(spark, d).select(F.floor(F.col("r") / 4).alias("r"), F.floor(F.col("c") / 4).alias("c")).distinct()
     return V.patch_components(cells).groupBy("patch").agg(F.count("*").alias("cells"))
 
 
