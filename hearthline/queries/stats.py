@@ -79,7 +79,7 @@ def permuted(spark, d):
 
 @query("moran_placeholders", with_sql("units edges", f"""WITH {_Z},
 few AS (SELECT 'single' AS family, 1 AS unit UNION ALL SELECT 'flat', 1 UNION ALL SELECT 'flat', 2)
-SELECT z.family, z.unit, 'ELIGIBLE' AS status, round((z.n - 1) * z.z * lag.lag_z / z.n, 9) AS local_i, lag.unit IS NOT NULL AS tested FROM z LEFT JOIN lag USING (family, unit)
+SELECT z.family, z.unit, CASE WHEN z.n < 30 THEN 'TOO_FEW_UNITS' ELSE 'ELIGIBLE' END AS status, CASE WHEN z.n >= 30 THEN round((z.n - 1) * z.z * lag.lag_z / z.n, 9) END AS local_i, z.n >= 30 AND lag.unit IS NOT NULL AS tested FROM z LEFT JOIN lag USING (family, unit)
 UNION ALL SELECT family, unit, CASE WHEN family = 'single' THEN 'UNDEFINED' ELSE 'NO_VARIANCE' END, NULL, false FROM few"""))
 def placeholders(spark, d):
     """Units of families that cannot be tested keep a row."""
