@@ -70,7 +70,9 @@ def d6(spark, d):
 SELECT a.vec_id, round(sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))), 6) AS nearest FROM p a JOIN p b ON (a.x <> b.x OR a.y <> b.y)
 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 40000 GROUP BY 1""")
 def d7(spark, d):
-    whole = lambda k: F.floor(F.col("embedding")[k] * 10000).cast("double")
+    """The product is a float as in SQL; ANSI Spark would make float by integer a double, whose floor can be one less."""
+    value = lambda k: F.get("embedding", F.lit(k)) * F.lit(10000).cast("float")
+    whole = lambda k: F.when(F.abs(value(k)) < float("inf"), F.floor(value(k)).cast("double"))
     points = table(spark, d, "embeddings").select("vec_id", whole(0).alias("x"), whole(1).alias("y"))
     return D.nearest_other(points, "vec_id", "x", "y", 200.0).select("vec_id", F.round("nearest", 6).alias("nearest"))
 
