@@ -6,6 +6,8 @@ are hashed in blocks of at most ``BLOCK`` so the temporaries stay small however
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -44,6 +46,20 @@ def _byte_values(lower: bool) -> np.ndarray:
     return fmix(code + _U(0x1234567))
 
 
+def tidy(body):
+    """``body``, a function of batches, that hands freed memory back to the system at its end: the worker stays for later tasks."""
+
+    def run(batches):
+        try:
+            yield from body(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def class_table(excluded) -> np.ndarray:
     """A 256-entry table that is true for word bytes: all but the excluded ones."""
     table = np.ones(256, bool)

@@ -136,7 +136,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
         gone = [pa.nulls(len(tokens), t) for t in (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.list_(pa.int8()))]
         yield pa.RecordBatch.from_arrays([*gone, pa.array(tokens.astype(np.int64)), pa.array(n)], _NAMES)
 
-    return docs.mapInArrow(summarise, "row long, id long, n long, s1 long, s2 long, bands array<long>, mins array<tinyint>, token long, local long")
+    return docs.mapInArrow(kernel.tidy(summarise), "row long, id long, n long, s1 long, s2 long, bands array<long>, mins array<tinyint>, token long, local long")
 
 
 _NAMES = ["row", "id", "n", "s1", "s2", "bands", "mins", "token", "local"]
@@ -237,7 +237,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
                     rows, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], ["row", "tokens"])
 
-    return docs.mapInArrow(make, "row long, tokens binary")
+    return docs.mapInArrow(kernel.tidy(make), "row long, tokens binary")
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -271,7 +271,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
 
     wide = _with_sets(pairs, pairs, "a", "b", sets, "ta", scratch)
     wide = _with_sets(wide, pairs, "b", "a", sets, "tb", scratch)
-    return wide.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return wide.select("a", "b", "ta", "tb").mapInArrow(kernel.tidy(check), "a long, b long")
 
 
 # --- groups ----------------------------------------------------------------------------------------
@@ -324,7 +324,7 @@ def _counted(docs: DataFrame, rows: DataFrame, levels: list[np.ndarray], scratch
             for k in range(0, len(flat), 1 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + (1 << 20)])], ["token"])
 
-    return docs.mapInArrow(cut, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    return docs.mapInArrow(kernel.tidy(cut), "token long").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def _order(docs: DataFrame, rows: DataFrame, summaries: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +378,7 @@ def _entries(docs: DataFrame, members: DataFrame, levels: np.ndarray, shared: np
                 table_ = pa.Table.from_arrays(columns, ["row", "n", "token", "reach"])
                 yield from table_.to_batches(max_chunksize=1 << 18)
 
-    return source.mapInArrow(cut, "row long, n long, token long, reach long").join(members.select("row", "group", "size"), "row")
+    return source.mapInArrow(kernel.tidy(cut), "row long, n long, token long, reach long").join(members.select("row", "group", "size"), "row")
 
 
 def _may_link(n: Column, i: Column, least: Column, most: Column) -> Column:
@@ -457,7 +457,9 @@ def _opened(queries: DataFrame, members: DataFrame, source: DataFrame, scratch:
         tokens = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["tokens"]]))
         return pa.table({"block": table["block"].slice(0, 1), "union": pa.array([tokens.tobytes()], pa.binary())})
 
+    # Written out, as otherwise each task of the bound below would hold two Python workers.
     unions = held.join(sets, "row").select("block", "tokens").groupBy("block").applyInArrow(unite, "block string, union binary")
+    unions = scratch.table(unions, "unions")
 
     def bound(batches):
         for batch in batches:
@@ -467,9 +469,10 @@ def _opened(queries: DataFrame, members: DataFrame, source: DataFrame, scratch:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(3)), pa.array(shared).filter(keep)], ["query", "group", "block", "shared"])
 
     bounded = _with_sets(several, several, "query", "block", sets, "tokens", scratch).join(unions, "block")
-    open_ = bounded.select("query", "group", "block", "tokens", "union").mapInArrow(bound, "query long, group long, block string, shared long")
+    open_ = bounded.select("query", "group", "block", "tokens", "union").mapInArrow(kernel.tidy(bound), "query long, group long, block string, shared long")
     order = Window.partitionBy("query", "group").orderBy(F.desc("shared"), "block")
     open_ = scratch.table(open_.withColumn("place", F.row_number().over(order)), "open")
+    scratch.drop(unions)
 
     def opened(part: DataFrame) -> DataFrame:
         return part.join(held.select("row", "block"), "block").select(F.col("query").alias("a"), F.col("row").alias("b"))
@@ -531,7 +534,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     stays = found.groupBy("component_row").agg(F.min(order)["row"].alias("row")).select("row")
-    gone = found.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", "__row")
+    # Written out, so that its size is known before the join and texts are not shuffled for a short list.
+    gone = materialise(found.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", "__row"), "gone")
     numbered = docs.withColumn("__own", F.monotonically_increasing_id())
     return numbered.join(gone, F.col("__own") == F.col("__row"), "left_anti").drop("__own")
 
