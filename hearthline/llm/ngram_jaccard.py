@@ -308,7 +308,7 @@ def _prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, rows: DataFrame, levels: list[np.ndarray], scratch: Scratch) -> DataFrame:
-    """(token, n): in how many prefixes by the last of ``levels`` a token is that was not in the same set's prefix by the one before."""
+    """(token, n): in how many prefixes by the last of ``levels`` a token is that was not in the same set's prefix by the one before, if there is one."""
     docs, table = _only(docs, rows, scratch)
     orders = scratch.broadcast(levels[-2:])
 
@@ -332,22 +332,20 @@ def _order(docs: DataFrame, rows: DataFrame, summaries: DataFrame, scratch: Scra
 
     What tasks saw to be frequent comes last; then the prefixes themselves are counted, exactly and
     over all classes, and tokens that several share are put later. Any order is right for the prefix
-    principle; this one keeps what many documents quote out of their prefixes. A prefix of the last
-    order consists of tokens of the first, all of which were counted, and of tokens that came in later,
-    all of which are marked.
+    principle; this one keeps what many documents quote out of their prefixes. The prefixes of the
+    last order are counted whole, so that a token gets a bit only if two of them have it.
     """
     often = summaries.where("token is not null").groupBy("token").agg(F.sum("local").alias("n")).where(F.col("n") >= OVERALL)
     powers = [scratch.table(_powers(often), "powers")]
-    levels, shared = [_levels(powers)], np.zeros((1 << SHARED_BITS) // 64, np.uint64)
-    for k in range(REFINE):
-        counts = _counted(docs, rows, levels, scratch)
-        counts = scratch.table(counts.where("n > 1") if k == 0 else counts, "counts")
-        shared |= _bits(counts.select("token"), SHARED_BITS)
+    levels = [_levels(powers)]
+    for _ in range(REFINE):
+        counts = scratch.table(_counted(docs, rows, levels, scratch).where("n > 1"), "counts")
         powers.append(scratch.table(_powers(counts), "powers"))
         scratch.drop(counts)
         levels.append(_levels(powers))
-    shared |= _bits(_counted(docs, rows, levels, scratch).select("token"), SHARED_BITS)
-    scratch.release()
+    counts = scratch.table(_counted(docs, rows, levels[-1:], scratch).where("n > 1"), "counts")
+    shared = _bits(counts.select("token"), SHARED_BITS)
+    scratch.drop(counts)
     return levels[-1], shared
 
 

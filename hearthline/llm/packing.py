@@ -64,7 +64,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(cut, f"doc_id {kind}, {PIECES}")
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).mapInArrow(kernel.tidy(cut), f"doc_id {kind}, {PIECES}")
 
 
 # --- the search within one shard -------------------------------------------------------------------

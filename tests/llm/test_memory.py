@@ -3,9 +3,10 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from hearthline.llm import kernel, ngram_jaccard
+from hearthline.llm import common, kernel, ngram_jaccard
 from hearthline.llm.common import Scratch
 
 D = "/root/testdata/sf0.001"
@@ -55,3 +56,35 @@ def test_a_tidy_function_hands_memory_back():
     sizes, pinned = [], []
     assert list(kernel.tidy(body)(iter([1, 2]))) == [1, 2]
     assert resident() <= sizes[0] - 50_000_000
+
+
+def test_written_tables_hand_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    before = spark.conf.get(common.BATCH)
+    rows = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")
+    with common.Scratch(spark, "batches") as scratch:
+        found = [r["n"] for r in scratch.table(rows, "sizes").collect()]
+    assert sum(found) == 5000 and max(found) <= 1000
+    assert spark.conf.get(common.BATCH) == before
+
+
+def test_prefix_tokens_that_one_document_has_make_no_entries(spark, monkeypatch):
+    """Pairs share 60 of 204 shingles, which leave the prefixes; most of those that take their place are in one document each."""
+    made = {}
+    plain = Scratch.table
+
+    def table(self, df, name):
+        out = plain(self, df, name)
+        if name == "entries":
+            made[name] = out.groupBy("token").count().where("count = 1").count()
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    words = lambda name, n: " ".join(f"{name}x{j}" for j in range(n))
+    rows = [(k, f"{words(f'pair{k // 2}', 64)} {words(f'own{k}', 140)}") for k in range(60)]
+    got = dict(ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "component_id").collect())
+    assert got == {k: k for k in range(60)}
+    assert made["entries"] < 10
